@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import bpe, mix, rankagg, split, terms
+from . import bpe, mix, neighbours, rankagg, split, terms
 from .sql import SQL  # noqa: F401
 
 
@@ -72,3 +72,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p5_found, p5_weights, p6_found, p6_counts, p7_found, p7_pieces, p7_reported, p8_ids, p9_mix, p9_shares)}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "doc_vectors"), 0.90)
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "doc_vectors"))
+
+
+QUERIES |= {f.__name__: f for f in (p2_found, p2_nearest)}

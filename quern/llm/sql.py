@@ -58,3 +58,14 @@ WITH now AS (
 SELECT document_id, page FROM counted WHERE longest > 300
 """,
 }
+
+SQL["p2_found"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, elements FROM doc_vectors
+  WHERE len(elements) = 64 AND len(list_filter(elements, lambda x: isfinite(x))) = 64 AND list_sum(list_transform(elements, lambda x: abs(x))) > 0
+), near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.elements::DOUBLE[], b.elements::DOUBLE[]) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY c DESC, b.vec_id) <= 10
+)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM near WHERE c >= 0.90
+"""
