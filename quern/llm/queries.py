@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import bpe, mix, neighbours, rankagg, split, terms
+from . import bpe, mix, neighbours, rankagg, spans, split, terms
 from .sql import SQL  # noqa: F401
 
 
@@ -83,3 +83,14 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p2_found, p2_nearest)}
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, d, "documents"))
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_characters(table(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (p10_found, p10_shared)}

@@ -69,3 +69,18 @@ WITH v AS (
 )
 SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM near WHERE c >= 0.90
 """
+
+_GRAMS = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+g AS (SELECT doc_id, i, substring(text, i::INT, 200) AS s FROM d, unnest(range(1, length(text) - 198)) AS t(i))
+"""
+SQL["p10_found"] = _GRAMS + """, u AS (SELECT DISTINCT doc_id, s FROM g)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id
+"""
+SQL["p10_shared"] = _GRAMS + """, m AS (SELECT s FROM g GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+o AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM g WHERE s IN (SELECT s FROM m)),
+c AS (SELECT doc_id, sum(least(200, coalesce(j, i + 200) - i))::BIGINT AS n FROM o GROUP BY doc_id),
+f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text)
+SELECT doc_id, coalesce(first, doc_id) AS cls, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars
+FROM documents LEFT JOIN f USING (text) LEFT JOIN c USING (doc_id)
+"""
