@@ -34,12 +34,32 @@ def levels_of(ids: np.ndarray, m: int) -> np.ndarray:
     return np.minimum(np.floor(-np.log(u) / np.log(m)), 8).astype(np.int64)
 
 
+def merge_best(best: np.ndarray, best_cos: np.ndarray, to: np.ndarray, what: np.ndarray, cos: np.ndarray) -> None:
+    """Merge triples into lists of the best, in place; a pair must not come twice."""
+    if not len(to):
+        return
+    k = best.shape[1]
+    order = np.lexsort((-cos, to))
+    to, what, cos = to[order], what[order], cos[order]
+    heads, starts, counts = np.unique(to, return_index=True, return_counts=True)
+    slot = np.arange(len(to)) - np.repeat(starts, counts)
+    fits = slot < k
+    line = np.repeat(np.arange(len(heads)), counts)[fits]
+    add, add_cos = np.full((len(heads), k), -1, dtype=best.dtype), np.full((len(heads), k), -3.0, dtype=best_cos.dtype)
+    add[line, slot[fits]], add_cos[line, slot[fits]] = what[fits], cos[fits]
+    both, both_cos = np.concatenate([best[heads], add], 1), np.concatenate([best_cos[heads], add_cos], 1)
+    top = np.argsort(-both_cos, axis=1, kind="stable")[:, :k]
+    best[heads], best_cos[heads] = np.take_along_axis(both, top, 1), np.take_along_axis(both_cos, top, 1)
+
+
 class Graph:
     """``vectors`` are unit float32 rows; ``layers[l]`` is (n, width) int32, ``members[l]`` the vectors of layer l."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, m: int = 16, build_beam: int = 48):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, m: int = 16, build_beam: int = 48, k: int = 10):
         self.x, self.ids, self.m, self.beam = np.ascontiguousarray(vectors, dtype=np.float32), ids, m, build_beam
         n = len(ids)
+        # the best seen of each vector: an insertion's search tells something of both ends
+        self.best, self.best_cos = np.full((n, k), -1, dtype=np.int32), np.full((n, k), -3.0, dtype=np.float32)
         self.level = levels_of(ids, m)
         self.top = int(self.level.max()) if n else 0
         self.layers = [np.full((n, 2 * m if l == 0 else m), -1, dtype=np.int32) for l in range(self.top + 1)]
@@ -48,9 +68,10 @@ class Graph:
             self._build()
 
     @classmethod
-    def load(cls, vectors, ids, m, entry, layers) -> "Graph":
+    def load(cls, vectors, ids, m, entry, layers, best, best_cos) -> "Graph":
         g = cls.__new__(cls)
         g.x, g.ids, g.m, g.entry, g.layers, g.top = vectors, ids, m, entry, layers, len(layers) - 1
+        g.best, g.best_cos = best, best_cos
         return g
 
     # --- searching -----------------------------------------------------------------------------
@@ -183,6 +204,15 @@ class Graph:
             links[heads[h]] = -1
             links[heads[h], : width - width // 4] = self._diverse(rows, cos, width - width // 4)
 
+    def _record(self, new: np.ndarray, found: np.ndarray, cos: np.ndarray) -> None:
+        """Take over what the search of a batch found, for its vectors and for those found. Within the batch each finds its own."""
+        k = min(self.best.shape[1], found.shape[1])
+        self.best[new, :k], self.best_cos[new, :k] = found[:, :k], cos[:, :k]
+        fresh = np.zeros(len(self.x), dtype=bool)
+        fresh[new] = True
+        r, c = np.nonzero((found >= 0) & ~fresh[found] & (cos > self.best_cos[found, -1]))
+        merge_best(self.best, self.best_cos, found[r, c], new[r].astype(np.int32), cos[r, c])
+
     def _build(self) -> None:
         n = len(self.x)
         order = np.lexsort((np.arange(n), -self.level))  # upper layers first, so that descents work from the start
@@ -209,8 +239,13 @@ class Graph:
                         best = np.argpartition(-p, k - 1, axis=1)[:, :k]
                         found = np.concatenate([found, new[mates][best].astype(np.int32)], 1)
                         cos = np.concatenate([cos, np.take_along_axis(p, best, 1)], 1)
-                        by = np.argsort(-cos, axis=1)[:, : self.beam]
+                        by = np.argsort(-cos, axis=1)
                         found, cos = np.take_along_axis(found, by, 1), np.take_along_axis(cos, by, 1)
+                        if layer == 0:
+                            self._record(new[here], found, cos)
+                        found, cos = found[:, : self.beam], cos[:, : self.beam]
+                    elif layer == 0:
+                        self._record(new[here], found, cos)
                     near = self._diverse(found, cos, self.m)
                     self.layers[layer][new[here], : near.shape[1]] = near
                     self._link_back(layer, new[here], near)
