@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import upkeep
+from . import search_queries, text_queries, upkeep
 
-_PARTS = [upkeep]
+_PARTS = [upkeep, text_queries, search_queries]
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: s for part in _PARTS for name, s in part.SQL.items()}
