@@ -29,6 +29,11 @@ def term_freq(toks: DataFrame, key: str = "doc_id") -> DataFrame:
     return toks.select(key, F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def postings(toks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``term_freq`` with the document's length ``dl`` in each row, so that scoring needs no join for it."""
+    return toks.select(key, F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def doc_lengths(toks: DataFrame, key: str = "doc_id") -> DataFrame:
     return toks.select(key, F.size("toks").cast("long").alias("dl"))
 

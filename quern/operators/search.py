@@ -32,18 +32,23 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``(query_id, doc_id, score)`` of documents with any term, score above 0."""
+def _hits(weight: DataFrame, tf: DataFrame, lengths: DataFrame | None) -> DataFrame:
+    hits = weight.join(tf, "term")
+    return hits if "dl" in tf.columns else hits.join(lengths, "doc_id")
+
+
+def bm25(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame | None, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``(query_id, doc_id, score)`` of documents with any term, score above 0; ``lengths`` may be None where ``tf`` has ``dl``."""
     weight = terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("cnt") * idf(F.col("n"), F.col("df"))).alias("w"), (F.col("total_len") / F.col("n")).alias("avgdl"))
-    hits = weight.join(tf, "term").join(lengths, "doc_id")
+    hits = _hits(weight, tf, lengths)
     f = F.col("tf")
     part = F.col("w") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def tfidf(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame, stats: DataFrame) -> DataFrame:
+def tfidf(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame | None, stats: DataFrame) -> DataFrame:
     weight = terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("cnt") * F.log(F.col("n") / F.col("df"))).alias("w"))
-    hits = weight.join(tf, "term").join(lengths, "doc_id")
+    hits = _hits(weight, tf, lengths)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf") / F.col("dl")).alias("score")).where("score > 0")
 
 

@@ -32,17 +32,15 @@ def query(sql: str | None = None):
 class Tables:
     """Index tables of the documents without stemming, and the terms of all search queries."""
 
-    def __init__(self, spark: SparkSession, d: str, store: bool = False):
-        keep = written if store else (lambda df, name: df)
-        toks = docs_of(spark, d)
-        self.tf = keep(X.term_freq(toks), "tf")
-        self.lengths = X.doc_lengths(toks)
-        self.vocab = keep(X.vocabulary(self.tf), "vocab")
-        self.stats = X.corpus_stats(self.lengths)
+    def __init__(self, spark: SparkSession, d: str):
+        self.tf = written(X.postings(docs_of(spark, d)), "tf")  # the texts are read and analysed once
+        self.vocab = written(X.vocabulary(self.tf), "vocab")
+        n = table(spark, d, "documents").where("doc_id is not null").agg(F.count(F.lit(1)).alias("n"))
+        self.stats = n.crossJoin(self.tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total_len")))
         self.terms = query_terms_of(spark, d)
 
     def bm25(self, k1: float = S.K1, b: float = S.B) -> DataFrame:
-        return S.bm25(self.terms, self.tf, self.vocab, self.lengths, self.stats, k1, b)
+        return S.bm25(self.terms, self.tf, self.vocab, None, self.stats, k1, b)
 
     def rounded(self) -> DataFrame:
         return self.bm25().withColumn("score", F.round("score", 6))
@@ -79,7 +77,7 @@ def bm25_param_grid(spark, d):
 @query(TOK + ", s AS (SELECT query_id, doc_id, round(sum(cnt * tf / dl * ln(n / df)), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), n GROUP BY ALL HAVING score > 0)" + _top("s", 10))
 def tfidf_search(spark, d):
     t = Tables(spark, d)
-    return S.top(S.tfidf(t.terms, t.tf, t.vocab, t.lengths, t.stats).withColumn("score", F.round("score", 6)).where("score > 0"), 10)
+    return S.top(S.tfidf(t.terms, t.tf, t.vocab, None, t.stats).withColumn("score", F.round("score", 6)).where("score > 0"), 10)
 
 
 FR = f""", frag AS (SELECT DISTINCT doc_id, fragment FROM (SELECT doc_id, {EDGES} AS f FROM tf), unnest(f) AS u(fragment)),
@@ -107,18 +105,18 @@ def phonetic_score(spark, d):
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(s, 4) AS score FROM fuz")
 def fuzzy_score(spark, d):
-    t = Tables(spark, d, store=True)
+    t = Tables(spark, d)
     return S.typo_tolerant(t.terms, t.vocab, X.fragments(t.tf)).withColumn("score", F.round("score", 4))
 
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(coverage, 4) AS coverage FROM cand")
 def lexical_candidates(spark, d):
-    return Tables(spark, d, store=True).candidates().withColumn("coverage", F.round("coverage", 4))
+    return Tables(spark, d).candidates().withColumn("coverage", F.round("coverage", 4))
 
 
 @query(TOK + BM + FR + ", k AS (SELECT query_id, doc_id, coalesce(score, 0) AS bm25 FROM cand LEFT JOIN bm USING (query_id, doc_id)), r AS (" + _top("k", 10, "query_id, doc_id, rank", "bm25") + ") SELECT *, round(1e0 / (20 + rank), 9) AS score FROM r")
 def lexical_only_search(spark, d):
-    t = Tables(spark, d, store=True)
+    t = Tables(spark, d)
     return S.lexical_ranking(t.candidates(), t.rounded())
 
 
@@ -209,7 +207,7 @@ def rrf_grid(spark, d):
 
 @query(TOK + BM + FR + SEM + ", h AS (SELECT query_id, doc_id, CASE WHEN score IS NOT NULL THEN 1 + score ELSE round(coverage, 4) * 1e-9 END AS score FROM cand LEFT JOIN bm USING (query_id, doc_id) WHERE coverage > 0), f AS (" + _fused("h", 20, 2, 10) + ")" + _top("f", 10))
 def hybrid_search(spark, d):
-    t = Tables(spark, d, store=True)
+    t = Tables(spark, d)
     keys = S.hybrid_keys(t.candidates().withColumn("coverage", F.round("coverage", 4)), t.rounded())
     return S.rrf(keys, _semantic(spark, d))
 
@@ -224,7 +222,7 @@ def blend_score(spark, d):
 @query()
 def neural_expansion(spark, d):
     """Documents reached through near vocabulary terms, for every query term; near is by the stand-in embedder."""
-    t = Tables(spark, d, store=True)
+    t = Tables(spark, d)
     embed = V.seeded_embedder(64)
     words = t.vocab.select("term", F.xxhash64("term").alias("vec_id"), embed("term").alias("vector"))
     asked = t.terms.select("term").distinct().select("term", F.xxhash64("term").alias("query_id"), embed("term").alias("vector"))

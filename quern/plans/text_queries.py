@@ -13,7 +13,7 @@ from ..operators import evaluate as E
 from ..operators import index as X
 from ..operators import search as S
 from ..operators.changefeed import BucketedTable, applicable, newest
-from ..session import scratch, table
+from ..session import scratch, spread, table
 from ..sources import files
 from ..streaming import feed
 
@@ -54,7 +54,7 @@ qt AS (SELECT query_id, term, count(*) AS cnt FROM q, unnest(toks) AS u(term) GR
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return X.analysed(table(spark, d, "documents").select("doc_id", "text"))
+    return X.analysed(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def tf_of(spark: SparkSession, d: str) -> DataFrame:
