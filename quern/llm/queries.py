@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import spread, table, written
 from . import bpe, mix, neighbours, rankagg, spans, split, terms
 from .sql import SQL  # noqa: F401
 
@@ -54,11 +54,11 @@ def p7_reported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_column(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return bpe.encode_column(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "ids")
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("source is not null").select("doc_id", "source", "text")
+    docs = spread(table(spark, d, "documents").where("source is not null").select("doc_id", "source", "text"))
     return written(bpe.encode_column(docs, out="size", counts_only=True).select("doc_id", "source", "size"), "sizes")
 
 
