@@ -83,7 +83,7 @@ def word_chunks(text, size: int = 300, overlap: int = 50) -> Column:
 def path_words(path) -> Column:
     """Search text of a file path: name, extension, then up to three folders from the nearest, with ``_ - .`` as blanks."""
     parts = F.filter(F.split(F.regexp_replace(_col(path), r"\\", "/"), "/"), lambda p: (p != "") & (p != "."))
-    name = F.coalesce(F.element_at(parts, -1), F.lit(""))
+    name = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     ext = F.regexp_extract(name, r"\.([^.]*)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     folders = F.slice(F.reverse(parts), 2, 3)
@@ -127,6 +127,6 @@ def chunk_fields(column) -> Column:
 
 def normalised_score(score, largest) -> Column:
     """Score over the largest, within 0 and 1; not finite, negative or without a positive largest is 0."""
-    x = _col(score) / _col(largest)
+    x = _col(score) / F.nullif(_col(largest).cast("double"), F.lit(0.0))
     usable = (_col(largest) > 0) & ~F.isnan(x) & (F.abs(x) != float("inf")) & (x >= 0)
     return F.when(~F.coalesce(usable, F.lit(False)), 0.0).when(x > 1, 1.0).otherwise(x)

@@ -52,6 +52,15 @@ class SearchIndex:
         bad = rows.where(~T.valid_id("id") | ~T.valid_text("text")).limit(1).collect()
         if bad:
             raise SearchError(f"not allowed: {bad[0].id!r}")
+        return self._put(rows)
+
+    def add_pages(self, pages: DataFrame) -> int:
+        """Upsert pages ``(document_id, page, text)`` in overlapping word chunks; blank pages give none. Hits come back under the document."""
+        self._usable()
+        chunks = pages.select("document_id", "page", F.posexplode(T.word_chunks(T.sanitised("text"))).alias("index", "text"))
+        return self._put(chunks.select(T.chunk_id("document_id", F.col("page"), F.col("index")).alias("id"), "text"))
+
+    def _put(self, rows: DataFrame) -> int:
         self.seq += 1
         put = rows.dropDuplicates(["id"]).select(F.lit(self.seq).alias("seq"), F.lit("put").alias("op"), F.col("id").alias("key"), F.col("text").alias("value"))
         self.tables = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,8 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context; they need not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_quern_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="quern-ship-")  # on the driver, which serves the file to executors
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "quern_package"), "zip", os.path.dirname(package), os.path.basename(package)))
+        sc._quern_shipped = True
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A path below the shared folder that no other call gets."""
+    ship(spark)
     return f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
 
 
@@ -55,6 +67,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
