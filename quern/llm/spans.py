@@ -216,14 +216,27 @@ def _pair_factors(length: int):
     return run
 
 
+def _pairs_within(rows: DataFrame, sizes: DataFrame, block: int = 256) -> DataFrame:
+    """All pairs ``(a, b)``, a < b, of the ``cls`` with one window; ``sizes`` is ``(window, n)`` of the windows that count.
+
+    The texts of a window are spread over blocks of about ``block``, and each two blocks meet under a
+    key of their own, so that no task holds a large group. Pairs come once for each window.
+    """
+    member = join_by_term(rows, sizes, "window", "n", "cls").where("n is not null").withColumn("blocks", F.ceil(F.col("n") / block))
+    member = member.withColumn("k", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    low = member.select("window", F.col("cls").alias("x"), F.col("k").alias("p"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("q"))
+    high = member.select("window", F.col("cls").alias("y"), F.col("k").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("p"))
+    met = low.join(high, ["window", "p", "q"]).where("p < q or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def shared_spans(texts: DataFrame, length: int = 200, group: int = 32) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b)``, a < b, between distinct texts that share a span, and ``(cls, first, last)`` of the shared spans.
 
     ``texts`` is ``(cls, text, copies)``, read several times: a written table. Up to ``group``
     texts with an anchor in common are factored against one another, which is at most
-    ``group``^2 / 2 pairs an anchor. Where more texts have an anchor, the windows around it are compared by hash: texts
-    with the same window are linked pair by pair up to ``group`` and beyond that each to the smallest
-    of them, which then stands for the whole group; every text stays linked with the span it shares.
+    ``group``^2 / 2 pairs an anchor. Where more texts have an anchor, the windows around it are compared by hash, and
+    all texts with the same window are linked, pair by pair.
     """
     rows = texts.select("cls", "text").mapInArrow(_anchor_rows(length), "anchor long, cls long")
     near = Window.partitionBy("anchor").orderBy("cls")
@@ -245,16 +258,14 @@ def shared_spans(texts: DataFrame, length: int = 200, group: int = 32) -> tuple[
     if hot.isEmpty():  # saves a second pass over the texts, which would find nothing
         return found.select("a", "b").distinct(), found.select("cls", "first", "last").distinct()
     wanted = rows.join(hot, "anchor").groupBy("cls").agg(F.collect_list("anchor").alias("wanted"))
-    windows = texts.select("cls", "text").join(wanted, "cls").mapInPandas(_window_rows(length), "window long, cls long, at int")
-    same = Window.partitionBy("window").orderBy("cls")
-    head = windows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= group + 1)
-    head = head.groupBy("window").agg(F.sort_array(F.collect_list("cls")).alias("all")).where(F.size("all") > 1)
-    close = all_pairs(head.where(F.size("all") <= group))
-    many = head.where(F.size("all") > group).select("window", F.element_at("all", 1).alias("a"))
-    star = windows.join(many, "window").where(F.col("cls") > F.col("a")).select("a", F.col("cls").alias("b"))
-    in_groups = windows.join(head.select("window"), "window").select("cls", F.col("at").alias("first"), (F.col("at") + length).cast("int").alias("last"))
-
-    links = found.select("a", "b").unionByName(close).unionByName(star).distinct()
+    windows = written(texts.select("cls", "text").join(wanted, "cls").mapInPandas(_window_rows(length), "window long, cls long, at int"), "windows")
+    sizes = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2")).where("n > 1")
+    sizes = written(sizes, "window-sizes")
+    alike = sizes.groupBy("n", "h1", "h2").agg(F.min("window").alias("window"))  # windows with the same texts give the same pairs
+    close = _pairs_within(windows.select("window", "cls"), alike.select("window", "n"))
+    in_groups = windows.join(sizes.select("window"), "window").select("cls", F.col("at").alias("first"), (F.col("at") + length).cast("int").alias("last"))
+
+    links = found.select("a", "b").unionByName(close).distinct()
     return links, found.select("cls", "first", "last").unionByName(in_groups).distinct()
 
 

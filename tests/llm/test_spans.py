@@ -70,3 +70,18 @@ def test_empty_table_and_a_long_text(spark):
     long = "".join(chr(97 + (i * i // 7) % 26) for i in range(200_000))
     df = spark.createDataFrame([(1, long), (2, "z" + long[1000:150_000]), (3, "q" * 100_000)], S)
     assert [tuple(x) for x in spans.shared_pairs(df).collect()] == [(1, 2)]
+
+
+def test_all_pairs_of_a_window_in_many_texts(spark):
+    r = random.Random(5)
+    common = text(r, 70)
+    docs = {i: text(r, 30) + common[i % 3 :] + text(r, 20) for i in range(40)}
+    df = spark.createDataFrame(list(docs.items()), S)
+    got = {tuple(x) for x in spans.shared_pairs(df, 60).collect()}
+    assert got == brute(docs, 60)[0] and len(got) == 40 * 39 // 2
+
+
+def test_pairs_within_blocks(spark):
+    rows = spark.createDataFrame([(w, i * w) for w in (1, 7) for i in range(1, 50 * w)], "window long, cls long")
+    got = [tuple(x) for x in spans._pairs_within(rows, rows.groupBy("window").count().withColumnRenamed("count", "n"), 16).collect()]
+    assert sorted(got) == sorted((a * w, b * w) for w in (1, 7) for a in range(1, 50 * w) for b in range(a + 1, 50 * w))
