@@ -178,7 +178,7 @@ def _anchor_rows(length: int):
 
 
 def _window_rows(length: int):
-    """Hashes of the windows of the wanted length that contain one of a text's given anchors."""
+    """Hashes of the windows of the wanted length that contain one of a text's given anchors, at all their places; ``one`` marks a single row of each window and text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seed = length // 2
@@ -192,8 +192,9 @@ def _window_rows(length: int):
                 np.add.at(touched, np.minimum(at + 1, len(windows)), -1)
                 keep = np.flatnonzero(np.cumsum(touched)[:-1] > 0)
                 if len(keep):
-                    u, i = np.unique(windows[keep], return_index=True)
-                    yield pd.DataFrame({"window": u.view(np.int64), "cls": cls, "at": keep[i]})
+                    one = np.zeros(len(keep), dtype=bool)
+                    one[np.unique(windows[keep], return_index=True)[1]] = True
+                    yield pd.DataFrame({"window": windows[keep].view(np.int64), "cls": cls, "at": keep, "one": one})
 
     return run
 
@@ -258,11 +259,12 @@ def shared_spans(texts: DataFrame, length: int = 200, group: int = 32) -> tuple[
     if hot.isEmpty():  # saves a second pass over the texts, which would find nothing
         return found.select("a", "b").distinct(), found.select("cls", "first", "last").distinct()
     wanted = rows.join(hot, "anchor").groupBy("cls").agg(F.collect_list("anchor").alias("wanted"))
-    windows = written(texts.select("cls", "text").join(wanted, "cls").mapInPandas(_window_rows(length), "window long, cls long, at int"), "windows")
-    sizes = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2")).where("n > 1")
+    windows = written(texts.select("cls", "text").join(wanted, "cls").mapInPandas(_window_rows(length), "window long, cls long, at int, one boolean"), "windows")
+    members = windows.where("one").select("window", "cls")
+    sizes = members.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2")).where("n > 1")
     sizes = written(sizes, "window-sizes")
     alike = sizes.groupBy("n", "h1", "h2").agg(F.min("window").alias("window"))  # windows with the same texts give the same pairs
-    close = _pairs_within(windows.select("window", "cls"), alike.select("window", "n"))
+    close = _pairs_within(members, alike.select("window", "n"))
     in_groups = windows.join(sizes.select("window"), "window").select("cls", F.col("at").alias("first"), (F.col("at") + length).cast("int").alias("last"))
 
     links = found.select("a", "b").unionByName(close).distinct()

@@ -85,3 +85,13 @@ def test_pairs_within_blocks(spark):
     rows = spark.createDataFrame([(w, i * w) for w in (1, 7) for i in range(1, 50 * w)], "window long, cls long")
     got = [tuple(x) for x in spans._pairs_within(rows, rows.groupBy("window").count().withColumnRenamed("count", "n"), 16).collect()]
     assert sorted(got) == sorted((a * w, b * w) for w in (1, 7) for a in range(1, 50 * w) for b in range(a + 1, 50 * w))
+
+
+@pytest.mark.parametrize("group", [32, 3])
+def test_passage_repeated_within_texts_of_a_large_group(spark, group):
+    r = random.Random(9)
+    common = text(r, 50)
+    docs = {i: text(r, 30) + common + text(r, 60) + common + text(r, 20) + " " * 90 for i in range(36)}
+    docs |= {50: "=" * 300, 51: common[:45] + " " * 10 + common, 52: text(r, 200)}
+    have = {x.doc_id: x.shared_chars for x in spans.shared_characters(spark.createDataFrame(list(docs.items()), S), 40, group).collect()}
+    assert have == brute(docs, 40)[1] and have[0] >= 190
