@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..session import scratch
 
 
-def scan_top(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "dot", least: float | None = None, block: int = 1024) -> DataFrame:
-    """``(query_id, vec_id, score, rank)``: the best ``k`` rows of ``vectors`` for each of ``queries``, all compared.
+def scan_top(queries: DataFrame, vectors: DataFrame, k: int | None = 10, metric: str = "dot", least: float | None = None, block: int = 1024) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``: the best ``k`` rows of ``vectors`` for each of ``queries``, all compared; without ``k`` all rows.
 
     Inputs are ``(query_id, vector)`` and ``(vec_id, vector)`` of one length; null and other lengths do
     not match anything. The queries are written to the shared folder and read there in blocks by each task,
@@ -25,6 +25,7 @@ def scan_top(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     """
     spark = vectors.sparkSession
     path = scratch(spark, "queries")
+    block = block if k is not None else min(block, 128)  # a batch hands on all it finds
     queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).write.parquet(path)
     uri = path if "://" in path or not path.startswith("file:") else "file://" + path[5:]
 
@@ -55,4 +56,5 @@ def scan_top(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>"))
     found = rows.mapInPandas(run, "query_id long, vec_id long, score double")
     score = F.col("score").asc() if metric == "l2" else F.col("score").desc()
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score, "vec_id"))).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score, "vec_id")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

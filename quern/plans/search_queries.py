@@ -170,11 +170,11 @@ def deterministic_embed(spark, d):
 
 
 def _semantic(spark, d) -> DataFrame:
-    """The second list: the vector whose id is the query's against the vectors whose ids are documents'."""
+    """The second list: the vector whose id is the query's against the vectors whose ids are documents'; all with a dot product above 0."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     q = e.join(table(spark, d, "search_queries").select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
     v = e.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return scan_top(q, v, 50, least=0.0).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    return scan_top(q, v, None, least=0.0).select("query_id", F.col("vec_id").alias("doc_id"), "score")
 
 
 SEM = f""", sem AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (

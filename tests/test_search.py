@@ -9,6 +9,7 @@ from quern.operators import evaluate, search
 from quern.operators import index as X
 from quern.operators.vectors import scan_top
 from quern.plans.search import SearchError, SearchIndex
+from quern.plans.search_queries import QUERIES
 from quern.sources import files
 from quern.streaming import feed
 
@@ -124,3 +125,16 @@ def test_stream_replay(spark, tmp_path, root):
         spark.createDataFrame(rows[i : i + 3], "seq long, op string, path string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
     got = feed.replayed(spark, str(tmp_path / "events"), "seq long, op string, path string, text string", feed.file_events, root + "/s", 1)
     assert [tuple(r) for r in got.collect()] == [("a.txt", 2, "y")] and string
+
+
+def test_fusion_of_a_document_far_down_the_vector_list(spark, tmp_path):
+    n = 560  # document i is at place i of the vector list
+    docs = spark.createDataFrame([(i, "zebra" if i == 60 else "moon", "en") for i in range(1, n)], "doc_id long, text string, lang string")
+    vectors = spark.createDataFrame([(1000, [1.0])] + [(i, [1 - i / 1000]) for i in range(1, n)], "vec_id long, embedding array<float>")
+    for name, df in {"documents": docs, "embeddings": vectors, "search_queries": spark.createDataFrame([(1000, "zebra")], "query_id long, query_text string")}.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, want in {"rrf_fuse": 1 / 21 + 2 / 80, "hybrid_search": 1 / 21 + 2 / 80, "blend_score": 0.6 + 0.4 * 0.94 / 0.999}.items():
+        got = {r.doc_id: r.score for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert len(got) == 10 and got[60] == pytest.approx(want, abs=2e-6)
+    grid = {(r.k, r.doc_id): r.score for r in QUERIES["rrf_grid"](spark, str(tmp_path)).collect()}
+    assert [grid[k, 60] for k in (10, 20, 60)] == pytest.approx([1 / 11 + 1 / 70, 1 / 21 + 2 / 80, 1 / 61 + 1 / 120], abs=1e-8)
