@@ -1,24 +1,18 @@
 """A hierarchical navigable small-world graph over unit vectors, as flat neighbour arrays.
 
-All work is done on many vectors at once: a batch of searches advances in lockstep, each step
-expanding the best few unexpanded entries of every beam, and vectors are inserted in batches that grow
-with the graph. Neighbour lists are rows of one int32 array per layer, -1 where empty.
+Neighbour lists are rows of one int32 array per layer, -1 where empty. Searches advance in groups
+of queries that lie near each other: a group shares one set of visited vectors, each step expands
+the best few unexpanded entries of every query's beam, and what is new among their neighbours is
+compared with the whole group by one matrix product. So a query also profits from what its group
+mates come across, and the vectors visited are fetched once a group rather than once a query.
+Vectors are inserted in batches that grow with the graph.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-
-#: Parts of a beam entry: the low 31 bits are the place, the next one tells that it was expanded.
-PLACE, EXPANDED = (1 << 31) - 1, 1 << 31
-EMPTY = np.int64((1 << 63) - 1)
-
-
-def _packed(cos: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Sortable integers, the nearest first: the bits of a positive float32 ascend as it does."""
-    far = np.maximum(np.float32(2.0) - cos.astype(np.float32, copy=False), np.float32(0.5)).view(np.int32).astype(np.int64)
-    return np.where(place >= 0, far << 32 | place, EMPTY)
+FAR = np.float32(-3.0)
 
 
 def levels_of(ids: np.ndarray, m: int) -> np.ndarray:
@@ -34,6 +28,15 @@ def levels_of(ids: np.ndarray, m: int) -> np.ndarray:
     return np.minimum(np.floor(-np.log(u) / np.log(m)), 8).astype(np.int64)
 
 
+def _best_of(place: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best columns of each row, best first."""
+    if cos.shape[1] > 2 * k:
+        part = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        place, cos = np.take_along_axis(place, part, 1), np.take_along_axis(cos, part, 1)
+    order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(place, order, 1), np.take_along_axis(cos, order, 1)
+
+
 def merge_best(best: np.ndarray, best_cos: np.ndarray, to: np.ndarray, what: np.ndarray, cos: np.ndarray) -> None:
     """Merge triples into lists of the best, in place; a pair must not come twice."""
     if not len(to):
@@ -53,107 +56,102 @@ def merge_best(best: np.ndarray, best_cos: np.ndarray, to: np.ndarray, what: np.
 
 
 class Graph:
-    """``vectors`` are unit float32 rows; ``layers[l]`` is (n, width) int32, ``members[l]`` the vectors of layer l."""
+    """``x`` are unit float32 rows; ``layers[l]`` is (n, width) int32, ``level`` the top layer of each vector."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, m: int = 16, build_beam: int = 48, k: int = 10):
-        self.x, self.ids, self.m, self.beam = np.ascontiguousarray(vectors, dtype=np.float32), ids, m, build_beam
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, m: int = 16, build_beam: int = 20, group: int = 512):
+        self.x, self.ids, self.m, self.beam, self.group = np.ascontiguousarray(vectors, dtype=np.float32), ids, m, build_beam, group
         n = len(ids)
-        # the best seen of each vector: an insertion's search tells something of both ends
-        self.best, self.best_cos = np.full((n, k), -1, dtype=np.int32), np.full((n, k), -3.0, dtype=np.float32)
         self.level = levels_of(ids, m)
         self.top = int(self.level.max()) if n else 0
         self.layers = [np.full((n, 2 * m if l == 0 else m), -1, dtype=np.int32) for l in range(self.top + 1)]
-        self.entry = -1
         if n:
             self._build()
 
-    @classmethod
-    def load(cls, vectors, ids, m, entry, layers, best, best_cos) -> "Graph":
-        g = cls.__new__(cls)
-        g.x, g.ids, g.m, g.entry, g.layers, g.top = vectors, ids, m, entry, layers, len(layers) - 1
-        g.best, g.best_cos = best, best_cos
-        return g
-
     # --- searching -----------------------------------------------------------------------------
 
     def _beam(self, q: np.ndarray, start: np.ndarray, layer: int, width: int, take: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Best ``width`` vectors of a layer for each query, from start vectors (rows, -1 where none): (places, cosines), best first.
-
-        An entry of a beam is one integer: its distance's bits, a bit that is 1 once it is expanded
-        and its place, so that a merge is one sort of a row.
-        """
-        x, links, n = self.x, self.layers[layer], len(self.x)
-        degree, take = links.shape[1], min(take, width)
-        rows = np.arange(len(start))
-        seen = np.zeros(len(start) * n, dtype=bool)
-        base = rows[:, None] * n
-        seen[(base + start)[start >= 0]] = True
-        beam = np.full((len(start), width), EMPTY, dtype=np.int64)
-        first = np.sort(_packed(np.einsum("bed,bd->be", x[start], q), start), axis=1)[:, :width]
-        beam[:, : first.shape[1]] = first
-        out = np.empty_like(beam)
-        columns = np.arange(width, dtype=np.int16)
-        buffer = np.empty((len(start) * take * degree, x.shape[1]), dtype=np.float32)
-        while len(rows):
-            # the best open entries of each beam, in beam order
-            pick = np.sort(np.where(beam & EXPANDED, np.int16(width), columns), axis=1)[:, :take]
-            going = pick[:, 0] < width
-            if not going.all():
-                out[rows[~going]] = beam[~going]
-                rows, base, beam, q, pick = rows[going], base[going], beam[going], q[going], pick[going]
-                if not len(rows):
-                    break
-            none = pick == width
-            pick[none] = 0
-            at = np.take_along_axis(beam, pick.astype(np.int64), 1) & PLACE
-            near = links[at]
-            near[none] = -1
-            near = np.sort(near.reshape(len(rows), -1), axis=1)
-            lines = np.arange(len(rows))[:, None]
-            beam[np.broadcast_to(lines, pick.shape)[~none], pick[~none]] |= EXPANDED
-            mark = base + near
-            stale = seen[mark]
-            stale[:, 1:] |= near[:, 1:] == near[:, :-1]
-            stale |= near < 0
-            near[stale] = 0
-            seen[mark[~stale]] = True
-            # into a kept buffer, as fresh memory costs more than the copy
-            held = buffer[: near.size]
-            np.take(x, near.ravel(), axis=0, out=held, mode="clip")
-            fresh = np.matmul(held.reshape(*near.shape, -1), q[:, :, None])[:, :, 0]
-            new = _packed(fresh, near)
-            new[stale] = EMPTY
-            beam = np.sort(np.concatenate([beam, new], axis=1), axis=1)[:, :width]
-        place = np.where(out >= EMPTY, -1, out & PLACE).astype(np.int32)
-        cos = 2.0 - (out >> 32).astype(np.int32).view(np.float32)
-        cos[place < 0] = -3.0
-        return place, cos
-
-    def _descend(self, q: np.ndarray, to: int) -> np.ndarray:
-        """Greedy descent from the entry to the layer above ``to``; start vectors for ``to``."""
-        at = np.full((len(q), 1), self.entry, dtype=np.int32)
+        """Best ``width`` vectors of a layer for each query of one group, from common start vectors: (places, cosines), best first, -1 where fewer."""
+        x, links, b = self.x, self.layers[layer], len(q)
+        seen, expanded = np.zeros(len(x), dtype=bool), np.zeros(len(x) + 1, dtype=bool)
+        expanded[-1] = True  # where a beam is empty
+        seen[start] = True
+        place = np.full((b, width), -1, dtype=np.int32)
+        cos = np.full((b, width), FAR, dtype=np.float32)
+        fresh = start
+        while True:
+            s = q @ x[fresh].T
+            if len(fresh) <= 4 * width:
+                place, cos = _best_of(np.concatenate([place, np.broadcast_to(fresh, s.shape)], 1), np.concatenate([cos, s], 1), width)
+            else:
+                at = np.flatnonzero(s > cos[:, -1:])  # few pass once the beams are filled
+                line, column = np.divmod(at, len(fresh))
+                counts = np.bincount(line, minlength=b)
+                most = int(counts.max())
+                if most:
+                    slot = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    add, add_cos = np.full((b, most), -1, dtype=np.int32), np.full((b, most), FAR, dtype=np.float32)
+                    add[line, slot], add_cos[line, slot] = fresh[column], s.ravel()[at]
+                    place, cos = _best_of(np.concatenate([place, add], 1), np.concatenate([cos, add_cos], 1), width)
+            open_ = ~expanded[place]
+            if take < width:
+                open_ &= np.cumsum(open_, axis=1) <= take
+            nodes = place[open_]
+            if not len(nodes):
+                return place, cos
+            expanded[nodes] = True
+            near = links[np.unique(nodes)].ravel()
+            near = near[near >= 0]
+            near = np.unique(near[~seen[near]])
+            if not len(near):
+                # all their neighbours are known; the rest of the beams may still lead on
+                fresh = near
+                continue
+            seen[near] = True
+            fresh = near
+
+    def _grouped(self, q: np.ndarray) -> list[np.ndarray]:
+        """Rows of ``q`` in groups of neighbours: by the nearest of the vectors of an upper layer."""
+        pivots = next((p for l in range(self.top, 0, -1) if len(p := np.flatnonzero(self.level >= l)) >= 32), None)
+        order = np.arange(len(q))
+        if pivots is not None and len(q) > self.group:
+            pivots = self.x[pivots[:512]]
+            # pivots themselves in the order of one of them, so that neighbouring groups are near too
+            pivots = pivots[np.argsort(-(pivots @ pivots[0]), kind="stable")]
+            nearest = np.concatenate([np.argmax(q[a : a + 4096] @ pivots.T, axis=1) for a in range(0, len(q), 4096)])
+            order = np.argsort(nearest, kind="stable")
+        return [order[a : a + self.group] for a in range(0, len(q), self.group)]
+
+    def _start(self, q: np.ndarray, to: int) -> np.ndarray:
+        """Greedy descent of a group from the entry to the layer above ``to``: start vectors for ``to``."""
+        at = np.array([self.entry], dtype=np.int32)
         for layer in range(self.top, to, -1):
-            at = self._beam(q, at, layer, 1, 1)[0]
+            at = np.unique(self._beam(q, at, layer, 1, 1)[0])
         return at
 
-    def search(self, q: np.ndarray, k: int, beam: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        place, cos = np.empty((len(q), width), dtype=np.int32), np.empty((len(q), width), dtype=np.float32)
+        for rows in self._grouped(q):
+            part = q[rows]
+            place[rows], cos[rows] = self._beam(part, self._start(part, layer), layer, width)
+        return place, cos
+
+    def search(self, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` best vectors found for each query; -1 and -3 where there are fewer."""
-        ps, cs = [], []
-        for a in range(0, len(q), block):
-            part = q[a : a + block]
-            p, c = self._beam(part, self._descend(part, 0), 0, max(beam, k))
-            ps.append(p[:, :k])
-            cs.append(c[:, :k])
-        return np.concatenate(ps), np.concatenate(cs)
+        if not len(self.x) or not len(q):
+            return np.full((len(q), k), -1, dtype=np.int32), np.full((len(q), k), FAR, dtype=np.float32)
+        place, cos = self._search(np.ascontiguousarray(q, dtype=np.float32), 0, max(beam, k))
+        return place[:, :k], cos[:, :k]
 
     # --- building ------------------------------------------------------------------------------
 
     def _diverse(self, cand: np.ndarray, cos: np.ndarray, width: int) -> np.ndarray:
         """Per row, up to ``width`` of the candidates (best first): each nearer to the vector than to any chosen before, then the best of the rest."""
         b, c = cand.shape
+        if c <= width:
+            return cand
         v = self.x[cand]
         between = np.matmul(v, v.transpose(0, 2, 1))
-        worst = np.full((b, c), -3.0, dtype=np.float32)
+        worst = np.full((b, c), FAR, dtype=np.float32)
         chosen = np.zeros((b, c), dtype=bool)
         count = np.zeros(b, dtype=np.int64)
         valid = cand >= 0
@@ -164,9 +162,7 @@ class Graph:
             worst = np.where(ok[:, None], np.maximum(worst, between[:, j, :]), worst)
         # chosen first, then the others, both by cosine
         rank = np.where(chosen, 0, np.where(valid, 1, 2)) * c + np.arange(c)
-        order = np.argsort(rank, axis=1)[:, :width]
-        out = np.take_along_axis(cand, order, 1)
-        return out
+        return np.take_along_axis(cand, np.argsort(rank, axis=1)[:, :width], 1)
 
     def _link_back(self, layer: int, new: np.ndarray, near: np.ndarray) -> None:
         """Add the new vectors to their neighbours' lists; lists that overflow are thinned."""
@@ -192,75 +188,46 @@ class Graph:
             order = np.argsort(rows < 0, axis=1, kind="stable")[:, :width]
             links[heads[light]] = np.take_along_axis(rows, order, 1)
         heavy = np.flatnonzero(~light)
-        for a in range(0, len(heavy), 2048):
-            h = heavy[a : a + 2048]
+        for a in range(0, len(heavy), 1024):
+            h = heavy[a : a + 1024]
             rows = both[h]
-            cos = np.einsum("bcd,bd->bc", self.x[rows], self.x[heads[h]])
-            cos[rows < 0] = -3.0
-            keep = min(rows.shape[1], width + width // 2)
-            order = np.argsort(-cos, axis=1)[:, :keep]
-            rows, cos = np.take_along_axis(rows, order, 1), np.take_along_axis(cos, order, 1)
+            cos = np.matmul(self.x[rows], self.x[heads[h]][:, :, None])[:, :, 0]
+            cos[rows < 0] = FAR
+            rows, cos = _best_of(rows, cos, min(rows.shape[1], width + width // 2))
             # thinned below the width, so that the next few links find room
             links[heads[h]] = -1
             links[heads[h], : width - width // 4] = self._diverse(rows, cos, width - width // 4)
 
-    def _record(self, new: np.ndarray, found: np.ndarray, cos: np.ndarray) -> None:
-        """Take over what the search of a batch found, for its vectors and for those found. Within the batch each finds its own."""
-        k = min(self.best.shape[1], found.shape[1])
-        self.best[new, :k], self.best_cos[new, :k] = found[:, :k], cos[:, :k]
-        fresh = np.zeros(len(self.x), dtype=bool)
-        fresh[new] = True
-        r, c = np.nonzero((found >= 0) & ~fresh[found] & (cos > self.best_cos[found, -1]))
-        merge_best(self.best, self.best_cos, found[r, c], new[r].astype(np.int32), cos[r, c])
-
     def _build(self) -> None:
+        """Insert level by level, upper ones first, so that descents work from the start; a batch is of one level."""
         n = len(self.x)
-        order = np.lexsort((np.arange(n), -self.level))  # upper layers first, so that descents work from the start
+        order = np.lexsort((np.arange(n), -self.level))
         self.entry = int(order[0])
-        done, top = 1, self.top
+        done = 1
         while done < n:
-            size = min(max(32, done // 2), 1024, n - done)
+            same = int(np.searchsorted(-self.level[order], -self.level[order[done]], "right")) - done
+            size = min(max(64, done), 4096, same)
             new = order[done : done + size]
             q = self.x[new]
-            at = np.full((size, 1), self.entry, dtype=np.int32)
-            peers = q @ q.T
-            np.fill_diagonal(peers, -3.0)
-            for layer in range(top, -1, -1):
-                here = self.level[new] >= layer
-                if not here.all():
-                    at_low = self._blocks(q[~here], at[~here], layer, 1)[0]
-                if here.any():
-                    found, cos = self._blocks(q[here], at[here], layer, self.beam)
-                    # the batch itself: its vectors are not in the graph yet
-                    mates = np.flatnonzero(here)
-                    if len(mates) > 1:
-                        p = peers[np.ix_(mates, mates)]
-                        k = min(self.m, len(mates) - 1)
-                        best = np.argpartition(-p, k - 1, axis=1)[:, :k]
-                        found = np.concatenate([found, new[mates][best].astype(np.int32)], 1)
-                        cos = np.concatenate([cos, np.take_along_axis(p, best, 1)], 1)
-                        by = np.argsort(-cos, axis=1)
-                        found, cos = np.take_along_axis(found, by, 1), np.take_along_axis(cos, by, 1)
-                        if layer == 0:
-                            self._record(new[here], found, cos)
-                        found, cos = found[:, : self.beam], cos[:, : self.beam]
-                    elif layer == 0:
-                        self._record(new[here], found, cos)
-                    near = self._diverse(found, cos, self.m)
-                    self.layers[layer][new[here], : near.shape[1]] = near
-                    self._link_back(layer, new[here], near)
-                if not here.all():
-                    at2 = np.empty((size, 1), dtype=np.int32)
-                    at2[~here] = at_low
-                    if here.any():
-                        at2[here] = found[:, :1]
-                    at = at2
-                else:
-                    at = found[:, :1]
-                # start vectors must be in the graph already
-                at = np.where(np.isin(at, new), self.entry, at)
+            mates, mate_cos = self._mates(q, min(self.m, size - 1))
+            for layer in range(int(self.level[new[0]]), -1, -1):
+                found, cos = self._search(q, layer, self.beam)
+                found, cos = _best_of(np.concatenate([found, new[mates].astype(np.int32)], 1), np.concatenate([cos, mate_cos], 1), self.beam)
+                near = np.concatenate([self._diverse(found[a : a + 1024], cos[a : a + 1024], self.m) for a in range(0, size, 1024)])
+                self.layers[layer][new, : near.shape[1]] = near
+                self._link_back(layer, new, near)
             done += size
 
-    def _blocks(self, q, at, layer, width, block: int = 256):
-        ps, cs = zip(*[self._beam(q[a : a + block], at[a : a + block], layer, width) for a in range(0, len(q), block)])
-        return np.concatenate(ps), np.concatenate(cs)
+    @staticmethod
+    def _mates(q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each vector of a batch, which is not in the graph yet, the ``k`` best others of the batch."""
+        if k < 1:
+            return np.empty((len(q), 0), dtype=np.int64), np.empty((len(q), 0), dtype=np.float32)
+        places, cosines = [], []
+        for a in range(0, len(q), 512):
+            s = q[a : a + 512] @ q.T
+            s[np.arange(len(s)), np.arange(a, a + len(s))] = FAR
+            p = np.argpartition(s, len(q) - k, axis=1)[:, -k:]
+            places.append(p)
+            cosines.append(np.take_along_axis(s, p, 1))
+        return np.concatenate(places), np.concatenate(cosines)
