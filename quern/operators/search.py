@@ -7,6 +7,8 @@ than the wanted places of a query per task before their shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,17 @@ def rrf(kw: DataFrame, vec: DataFrame, k: float = 20.0, w_kw: float = 1.0, w_vec
     return top(scored, n)
 
 
+def fusion_depth(n: int = 10, k: float = 20.0, w_kw: float = 1.0, w_vec: float = 2.0) -> int | None:
+    """How many places of the second list can matter for the first ``n`` of ``rrf``; None if all can.
+
+    The first ``n`` of the second list have ``w_vec / (k + n)`` each. A document further down needs
+    the rest from the first list, which gives at most ``w_kw / (k + 1)``. What is beyond the depth
+    can neither reach the first ``n`` nor, having the smaller score, come before one of them in a tie of the first list.
+    """
+    short = w_vec / (k + n) - w_kw / (k + 1)
+    return max(n, math.ceil(w_vec / short - k)) + 1 if short > 1e-9 else None
+
+
 def hybrid_keys(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """List key of lexical candidates: 1 + BM25 where there is one, else coverage times 1e-9; coverage above 0 only."""
     rows = candidates.where("coverage > 0").join(scores, ["query_id", "doc_id"], "left")

@@ -169,17 +169,17 @@ def deterministic_embed(spark, d):
     return table(spark, d, "documents").select("doc_id", V.seeded_embedder(64)("text").alias("vector"))
 
 
-def _semantic(spark, d) -> DataFrame:
-    """The second list: the vector whose id is the query's against the vectors whose ids are documents'; all with a dot product above 0."""
+def _semantic(spark, d, depth: int | None = None) -> DataFrame:
+    """The second list: the vector whose id is the query's against the vectors whose ids are documents'; all with a dot product above 0, or the best ``depth``."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     q = e.join(table(spark, d, "search_queries").select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
     v = e.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return scan_top(q, v, None, least=0.0).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    return scan_top(q, v, depth, least=0.0).select("query_id", F.col("vec_id").alias("doc_id"), "score")
 
 
-SEM = f""", sem AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (
+SEM = f""", sem AS (SELECT query_id, doc_id, score FROM (
  SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product({_A}, {_B}), 6) AS score FROM embeddings q JOIN embeddings v ON true
- WHERE q.vec_id IN (SELECT query_id FROM search_queries) AND v.vec_id IN (SELECT doc_id FROM documents)) WHERE score > 0) WHERE r <= 50)"""
+ WHERE q.vec_id IN (SELECT query_id FROM search_queries) AND v.vec_id IN (SELECT doc_id FROM documents)) WHERE score > 0)"""
 
 
 def _fused(kw: str, k: float, w: float, n: int, depth: int | None = None) -> str:
@@ -191,7 +191,7 @@ def _fused(kw: str, k: float, w: float, n: int, depth: int | None = None) -> str
 
 @query(TOK + BM + SEM + ", f AS (" + _fused("bm", 20, 2, 10) + ")" + _top("f", 10))
 def rrf_fuse(spark, d):
-    return S.rrf(Tables(spark, d).rounded(), _semantic(spark, d))
+    return S.rrf(Tables(spark, d).rounded(), _semantic(spark, d, S.fusion_depth()))
 
 
 _RRF_GRID = [(10, 1.0), (20, 2.0), (60, 1.0)]
@@ -200,7 +200,7 @@ _RRF_GRID = [(10, 1.0), (20, 2.0), (60, 1.0)]
 @query(TOK + BM + SEM + "".join(f", f{i} AS ({_fused('bm', k, w, 10, 500)}), t{i} AS ({_top(f'f{i}', 10)})" for i, (k, w) in enumerate(_RRF_GRID))
     + " UNION ALL ".join(f" SELECT {k} AS k, {w}::DOUBLE AS w_vec, query_id, doc_id, score FROM t{i}" for i, (k, w) in enumerate(_RRF_GRID)))
 def rrf_grid(spark, d):
-    kw, vec = written(Tables(spark, d).rounded(), "kw"), written(_semantic(spark, d), "vec")
+    kw, vec = written(Tables(spark, d).rounded(), "kw"), written(_semantic(spark, d, 500), "vec")
     parts = [S.rrf(kw, vec, float(k), 1.0, w, depth=500).select(F.lit(k).alias("k"), F.lit(w).alias("w_vec"), "query_id", "doc_id", "score") for k, w in _RRF_GRID]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -209,7 +209,7 @@ def rrf_grid(spark, d):
 def hybrid_search(spark, d):
     t = Tables(spark, d)
     keys = S.hybrid_keys(t.candidates().withColumn("coverage", F.round("coverage", 4)), t.rounded())
-    return S.rrf(keys, _semantic(spark, d))
+    return S.rrf(keys, _semantic(spark, d, S.fusion_depth()))
 
 
 @query(TOK + BM + SEM + """, bb AS (SELECT query_id, doc_id, bm.score AS kw, sem.score AS vec FROM bm FULL JOIN sem USING (query_id, doc_id)),
