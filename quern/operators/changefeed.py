@@ -1,25 +1,41 @@
 """Applying a change feed of puts and deletes to a bucketed copy-on-write table.
 
-The table is a folder of Parquet files, split into a fixed number of buckets by a hash of the key,
-and a series of manifests. A manifest names, for each bucket, the folder that holds its rows. A
-commit writes replacement files for the touched buckets only and then claims the next manifest
-number by an exclusive create; readers see the old manifest or the new one, never a mixture.
+The table is a folder of Parquet files, one for each bucket of keys and sorted by key, and a series
+of manifests that name them. A bucket is a prefix of the key's hash, read from its low end; a bucket
+that outgrows ``bucket_bytes`` is written as several with longer prefixes, so buckets keep their
+size as the table grows. A batch is combined where it is read and shuffled once, by bucket. The task
+of a touched bucket reads the bucket's file as stored, merges the sorted changes into it and writes
+a replacement; other buckets are not read. Then the next manifest number is claimed by an exclusive
+create; readers see the old manifest or the new one, never a mixture.
 
 Rows keep their ``seq`` and tombstones are kept as rows, so that a change that arrives late is
 weighed against what the table already has: the largest ``seq`` of a key wins, whatever the order
-and number of deliveries. Applying a batch again changes nothing.
+and number of deliveries. Applying a batch again changes nothing. ``compact`` drops tombstones up to
+a ``seq`` of which the caller knows that everything has arrived.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..sources.fs import SharedFiles
 
 STATE = "key string, seq long, deleted boolean, value string"
+ROUTED = pa.schema([("bucket", pa.int32()), ("key", pa.string()), ("seq", pa.int64()), ("deleted", pa.bool_()), ("value", pa.string()), ("h", pa.int64())])
+STORED = pa.schema([ROUTED.field(c) for c in ("key", "seq", "deleted", "value", "h")])
+MADE = pa.schema([("was", pa.string()), ("now", pa.string()), ("path", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64())])
+#: Names of past batches that a manifest remembers, most bits of a bucket's prefix, and rows that are combined at a time before the shuffle.
+REMEMBERED, MOST_BITS, COMBINED = 1000, 20, 100_000
 
 
 def applicable(changes: DataFrame) -> DataFrame:
@@ -46,81 +62,240 @@ def newest(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, "key").agg(best).select(*by, "key", "b.seq", "b.deleted", "b.value")
 
 
+def _newest(t: pa.Table) -> pa.Table:
+    """``newest`` of an Arrow table, sorted by key."""
+    order = pc.sort_indices(t, [("key", "ascending"), ("seq", "descending"), ("deleted", "descending"), ("value", "descending")])
+    t = t.take(order)
+    if t.num_rows > 1:
+        key = t.column("key").combine_chunks()
+        key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
+        first = np.ones(t.num_rows, dtype=bool)
+        first[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        t = t.filter(pa.array(first))
+    return t
+
+
+def _label(bits: int, value: int) -> str:
+    return f"{bits}-{value}"
+
+
+def _directory(labels: list[str]) -> np.ndarray:
+    """Place, in ``labels``, of the bucket of each value of the hash's low bits."""
+    parts = [tuple(map(int, l.split("-"))) for l in labels]
+    most = max(bits for bits, _ in parts)
+    out = np.full(1 << most, -1, dtype=np.int32)
+    for place, (bits, value) in enumerate(parts):
+        out[value :: 1 << bits] = place
+    return out
+
+
+def _store(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(root if "://" in root or not root.startswith("file:") else "file://" + root[5:])
+
+
+def _combiner(labels: list[str]):
+    """Per run of rows, one row per key with its bucket: what the shuffle has to carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, held, size = _directory(labels), [], 0
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            t = _newest(pa.Table.from_batches(held))
+            at = buckets[t.column("h").to_numpy() & (len(buckets) - 1)]
+            yield from t.add_column(0, ROUTED.field("bucket"), pa.array(at)).cast(ROUTED).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= COMBINED:
+                yield from combined()
+                held, size = [], 0
+        if held:
+            yield from combined()
+
+    return run
+
+
+def _written(fs, base: str, was: str, t: pa.Table, limit: int, mark: str) -> Iterator[dict]:
+    """Write a bucket's rows, sorted by key, as one file, or as several buckets where they are too large."""
+    bits, value = map(int, was.split("-"))
+    more = 0
+    while t.nbytes > limit << more and bits + more < MOST_BITS:
+        more += 1
+    h = t.column("h").to_numpy()
+    fs.create_dir(f"{base}/data", recursive=True)
+    for low in range(1 << more):
+        part = t if not more else t.filter(pa.array((h >> bits) & ((1 << more) - 1) == low))
+        path = f"data/{mark}-{uuid.uuid4().hex}.parquet"
+        with fs.open_output_stream(f"{base}/{path}") as out:
+            pq.write_table(part, out, compression="zstd", row_group_size=64_000, write_page_index=True)
+        yield {"was": was, "now": _label(bits + more, value | low << bits), "path": path, "rows": part.num_rows, "bytes": part.nbytes}
+
+
+def _merger(root: str, labels: list[str], paths: dict[str, str], limit: int, mark: str, stamp: int | None):
+    """Merge the changes of each touched bucket with its stored file and write its replacement."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        fs, base = _store(root)
+        changes = pa.Table.from_batches(held)
+        at = changes.column("bucket").to_numpy()
+        for place in np.unique(at):
+            was = labels[place]
+            rows = changes.filter(pa.array(at == place)).drop_columns("bucket")
+            if stamp is not None:
+                rows = rows.set_column(rows.column_names.index("seq"), STORED.field("seq"), pa.array(np.full(rows.num_rows, stamp)))
+            rows = rows.select(STORED.names).cast(STORED)
+            if was in paths:
+                rows = pa.concat_tables([pq.read_table(f"{base}/{paths[was]}", filesystem=fs, partitioning=None).cast(STORED), rows])
+            yield pa.RecordBatch.from_pylist(list(_written(fs, base, was, _newest(rows), limit, mark)), schema=MADE)
+
+    return run
+
+
+def _compactor(root: str, labels: list[str], paths: dict[str, str], limit: int, mark: str, upto: int):
+    """Rewrite buckets that have tombstones with a seq of at most ``upto`` without these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _store(root)
+        for batch in batches:
+            for place in batch.column("id").to_pylist():
+                was = labels[place]
+                if was not in paths:
+                    continue
+                rows = pq.read_table(f"{base}/{paths[was]}", filesystem=fs, partitioning=None).cast(STORED)
+                gone = pc.and_(rows.column("deleted"), pc.less_equal(rows.column("seq"), upto))
+                if pc.any(gone).as_py():
+                    yield pa.RecordBatch.from_pylist(list(_written(fs, base, was, rows.filter(pc.invert(gone)), limit, mark)), schema=MADE)
+
+    return run
+
+
+_MADE = "was string, now string, path string, rows long, bytes long"
+
+
 class BucketedTable:
-    """A copy-on-write table below ``root``; ``buckets`` is fixed when the table is made."""
+    """A copy-on-write table below ``root``.
+
+    ``buckets`` is the least number of buckets that a new table starts with (rounded up to a power
+    of two); it starts with more where its first batch is larger than that many ``bucket_bytes``.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 8, bucket_bytes: int = 64 << 20):
+        self.spark, self.root, self.least, self.limit = spark, root.rstrip("/"), buckets, bucket_bytes
         self.files = SharedFiles(spark, self.root)
-        found = self.manifest()
-        self.buckets = found["buckets"] if found else buckets
 
     def versions(self) -> list[int]:
         return [int(n[:-5]) for n in self.files.names("manifests") if n.endswith(".json")]
 
     def manifest(self, version: int | None = None) -> dict | None:
+        """``at`` has, by bucket, the path, rows and bytes of its file, or null for one without rows yet."""
         have = self.versions()
         if not have:
             return None
         return self.files.read_json(f"manifests/{version or max(have):010d}.json")
 
-    def bucket_of(self, key: str = "key"):
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(self.buckets)).cast("int")
-
-    def state(self, only: set[str] | None = None, version: int | None = None) -> DataFrame:
-        """All rows with tombstones, of the buckets in ``only`` or of all."""
-        m = self.manifest(version) or {"at": {}}
-        paths = sorted(p for b, p in m["at"].items() if only is None or b in only)
+    def _read(self, entries: list[dict | None]) -> DataFrame:
+        paths = sorted(e["path"] for e in entries if e)
         if not paths:
             return self.spark.createDataFrame([], STATE)
         return self.spark.read.schema(STATE).parquet(*[f"{self.root}/{p}" for p in paths])
 
+    def state(self, version: int | None = None) -> DataFrame:
+        """All rows, with the tombstones that are still kept."""
+        return self._read(list((self.manifest(version) or {"at": {}})["at"].values()))
+
     def live(self, version: int | None = None) -> DataFrame:
         """The current rows ``(key, seq, value)``."""
-        return self.state(version=version).where(~F.col("deleted")).select("key", "seq", "value")
+        return self.state(version).where(~F.col("deleted")).select("key", "seq", "value")
 
-    def apply(self, changes: DataFrame, batch: str | None = None) -> int:
+    def get(self, key: str, version: int | None = None) -> DataFrame:
+        """The live row of one key, if any: the one file that can have it is opened, and the row groups that can."""
+        at = (self.manifest(version) or {"at": {}})["at"]
+        if not at:
+            return self.live(version)
+        h = self.spark.range(1).select(F.xxhash64(F.lit(key)).alias("h")).first().h
+        labels = list(at)
+        where = _directory(labels)
+        rows = self._read([at[labels[where[h & (len(where) - 1)]]]])
+        return rows.where((F.col("key") == key) & ~F.col("deleted")).select("key", "seq", "value")
+
+    def _first_buckets(self, changes: DataFrame) -> dict[str, None]:
+        """Empty buckets for a new table, by the optimizer's estimate of the first batch's size."""
+        size = int(str(changes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        wanted = max(self.least, min(-(-size // self.limit), 1 << 14) if size < 1 << 60 else 0)
+        bits = max(0, (wanted - 1).bit_length())
+        return {_label(bits, v): None for v in range(1 << bits)}
+
+    def apply(self, changes: DataFrame, batch: str | None = None, stamped: bool = False) -> int:
         """Apply one batch of changes and commit; returns the version that has it.
 
-        1. Pre-aggregate the feed to the newest record per key and route those, sorted, to staging
-           folders by bucket. 2. Merge each touched bucket with its base rows; untouched buckets
-           keep their files. 3. Commit a manifest. ``batch`` names the batch: a name that a
-           manifest already has is skipped. If another writer commits first, the merge is done again on its
-           version, with the staged changes.
+        ``batch`` names the batch: a name that a manifest remembers is skipped (it remembers the last
+        ``REMEMBERED``; an older one is applied again, which changes nothing). If another writer commits
+        first, the merge is done again on its version. With ``stamped`` the version takes the place
+        of ``seq``, so that batches count in the order of their commits, whoever makes them.
+        Records at or below the ``seq`` up to which the table is compacted have been seen and are left out.
         """
         name = batch or uuid.uuid4().hex
-        staged = f"staging/{name}-{uuid.uuid4().hex[:8]}"
-        now = self.manifest()
-        if now and name in now["batches"]:
-            return now["version"]
-        routed = newest(applicable(changes)).withColumn("bucket", self.bucket_of())
-        # the shuffle by key has one row per key left; few files per bucket, as tasks hold whole ranges of buckets
-        routed.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.root}/{staged}")
-        touched = {n.split("=")[1] for n in self.files.names(staged) if n.startswith("bucket=")}
+        ship(self.spark)
+        rows = applicable(changes.withColumn("seq", F.lit(0)) if stamped else changes).withColumn("h", F.xxhash64("key"))
         while True:
-            now = self.manifest() or {"version": 0, "at": {}, "batches": []}
+            now = self.manifest() or {"version": 0, "at": self._first_buckets(changes), "batches": [], "horizon": None}
             if name in now["batches"]:
-                break
-            folder = f"data/{now['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
-            if touched:
-                delta = self.spark.read.schema(STATE).parquet(*[f"{self.root}/{staged}/bucket={b}" for b in sorted(touched, key=int)])
-                both = self.state(only=touched).unionByName(delta).withColumn("bucket", self.bucket_of())
-                # clustered by bucket, so the sort-merge by (bucket, key) needs no further shuffle
-                merged = newest(both.repartition("bucket"), "bucket")
-                merged.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-            at = now["at"] | {b: f"{folder}/bucket={b}" for b in touched}
-            version = now["version"] + 1
-            if self.files.create_json(f"manifests/{version:010d}.json", {"version": version, "buckets": self.buckets, "at": at, "batches": [*now["batches"], name]}):
-                now = {"version": version}
-                break
-            self.files.delete(folder)
-        self.files.delete(staged)
-        return now["version"]
+                return now["version"]
+            version, labels = now["version"] + 1, list(now["at"])
+            fresh = rows if now["horizon"] is None or stamped else rows.where(F.col("seq") > now["horizon"])
+            routed = fresh.select("key", "seq", "deleted", "value", "h").mapInArrow(_combiner(labels), "bucket int, key string, seq long, deleted boolean, value string, h long")
+            paths = {b: e["path"] for b, e in now["at"].items() if e}
+            merged = routed.repartitionById(len(labels), "bucket").mapInArrow(_merger(self.root, labels, paths, self.limit, f"{version:010d}", version if stamped else None), _MADE)
+            if self._commit(now, merged.collect(), [*now["batches"], name][-REMEMBERED:], now["horizon"]):
+                return version
+
+    def compact(self, upto: int | None = None) -> int:
+        """Drop tombstones with a ``seq`` of at most ``upto`` (all by default) and return the version.
+
+        The caller vouches that every record up to there has arrived: later ones are left out.
+        Buckets without such tombstones keep their files.
+        """
+        ship(self.spark)
+        while True:
+            now = self.manifest()
+            if now is None:
+                return 0
+            horizon = upto if upto is not None else self.state().agg(F.max("seq")).first()[0]
+            if horizon is None:
+                return now["version"]
+            labels = list(now["at"])
+            paths = {b: e["path"] for b, e in now["at"].items() if e}
+            tasks = self.spark.range(0, len(labels), 1, len(labels))
+            made = tasks.mapInArrow(_compactor(self.root, labels, paths, self.limit, f"{now['version'] + 1:010d}", horizon), _MADE).collect()
+            if self._commit(now, made, now["batches"], max(horizon, now["horizon"] if now["horizon"] is not None else horizon)):
+                return now["version"] + 1
+
+    def _commit(self, now: dict, made: list, batches: list[str], horizon: int | None) -> bool:
+        """Claim the next version for the files made; they go if another writer was first."""
+        at = {b: e for b, e in now["at"].items() if b not in {m.was for m in made}}
+        at |= {m.now: {"path": m.path, "rows": m.rows, "bytes": m.bytes} for m in made}
+        version = now["version"] + 1
+        if self.files.create_json(f"manifests/{version:010d}.json", {"version": version, "at": at, "batches": batches, "horizon": horizon}):
+            return True
+        for m in made:
+            self.files.delete(m.path)
+        return False
 
     def vacuum(self, keep: int = 1) -> int:
-        """Delete data folders that none of the last ``keep`` versions uses; returns how many went."""
-        used = {p.split("/")[1] for v in self.versions()[-keep:] for p in self.manifest(v)["at"].values()}
+        """Delete data files that none of the last ``keep`` versions uses, and older manifests; returns how many data files went.
+
+        Not to be run while another writer is at work, whose files no manifest names yet.
+        """
+        versions = self.versions()
+        used = {e["path"].split("/")[1] for v in versions[-keep:] for e in self.manifest(v)["at"].values() if e}
         gone = [n for n in self.files.names("data") if n not in used]
         for n in gone:
             self.files.delete(f"data/{n}")
+        for v in versions[:-keep]:
+            self.files.delete(f"manifests/{v:010d}.json")
         return len(gone)

@@ -275,7 +275,8 @@ def compact_tombstones(spark, d):
     changes = _event_changes(table(spark, d, "events"))
     t.apply(changes.where("seq % 2 = 1"))
     t.apply(changes.where("seq % 2 = 0"))
-    return t.live().select("key", "seq")
+    t.compact()
+    return t.state().select("key", "seq")
 
 
 @query(_EVENTS + "SELECT key, seq FROM l WHERE NOT deleted")

@@ -14,7 +14,7 @@ def _replayed(spark: SparkSession, d: str) -> DataFrame:
     """The log applied in two deliveries (split halfway through the arrival times) to a new table."""
     wal = table(spark, d, "wal_records").select("seq", "op", "key", "value", "arrived_at")
     lo, hi = wal.agg(F.min("arrived_at"), F.max("arrived_at")).first()
-    into = BucketedTable(spark, scratch(spark, "replay"), max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    into = BucketedTable(spark, scratch(spark, "replay"))
     late = F.lit(False) if lo is None else F.coalesce(F.col("arrived_at") > F.lit(lo + (hi - lo) / 2), F.lit(False))
     into.apply(wal.where(~late), "first-delivery")
     into.apply(wal.where(late), "second-delivery")

@@ -1,3 +1,4 @@
+import os
 import random
 
 from quern.operators.changefeed import BucketedTable, applicable
@@ -43,15 +44,58 @@ def test_batches_in_any_order_and_again(spark, root):
     assert {tuple(x) for x in t.live().collect()} == want
 
 
-def test_only_touched_buckets_get_new_files(spark, root):
+def test_only_touched_buckets_are_read_and_replaced(spark, root):
     t = BucketedTable(spark, root, 8)
     t.apply(spark.createDataFrame([(i, "put", f"k{i}", "v") for i in range(64)], SCHEMA))
     before = t.manifest()["at"]
+    mine = t.get("k3")
+    assert len(mine.inputFiles()) == 1 and [tuple(x) for x in mine.collect()] == [("k3", 3, "v")]
+    file = mine.inputFiles()[0].rsplit("/", 1)[1]
+    for e in before.values():  # other buckets' files can't even be opened
+        if not e["path"].endswith(file):
+            os.chmod(f"{root[7:]}/{e['path']}", 0)
+            os.rename(f"{root[7:]}/{e['path']}", f"{root[7:]}/{e['path']}.away")
     t.apply(spark.createDataFrame([(100, "put", "k3", "w")], SCHEMA))
+    for e in before.values():
+        if not e["path"].endswith(file):
+            os.rename(f"{root[7:]}/{e['path']}.away", f"{root[7:]}/{e['path']}")
+            os.chmod(f"{root[7:]}/{e['path']}", 0o644)
     after = t.manifest()["at"]
     assert sum(before[b] != after[b] for b in after) == 1
-    assert t.live(version=1).count() == 64 and t.live().where("value = 'w'").count() == 1
-    assert t.vacuum() == 0 and t.live().count() == 64
+    assert t.live(version=1).count() == 64 and t.get("k3").first().value == "w" and t.get("none").count() == 0
+    assert t.vacuum() == 1 and t.live().count() == 64 and t.versions() == [2]
+
+
+def test_buckets_split_as_they_grow(spark, root):
+    t = BucketedTable(spark, root, 1, bucket_bytes=20_000)
+    want = {}
+    for n in range(3):
+        rows = [(n * 1000 + i, "put", f"key {(i * 7 + n) % 1500}", "v" * 40) for i in range(1000)]
+        want |= {k: s for s, _, k, _ in rows}
+        t.apply(spark.createDataFrame(rows, SCHEMA))
+    at = t.manifest()["at"]
+    assert len(at) > 4 and max(e["bytes"] for e in at.values() if e) <= 20_000
+    assert {x.key: x.seq for x in t.live().collect()} == want
+    assert t.get("key 8").first().seq == want["key 8"]
+
+
+def test_compaction_drops_tombstones(spark, root):
+    t = BucketedTable(spark, root, 2)
+    t.apply(spark.createDataFrame([(1, "put", "a", "x"), (2, "put", "b", "y"), (3, "delete", "a", None), (9, "delete", "c", None)], SCHEMA))
+    assert t.state().count() == 3
+    t.compact(5)
+    assert sorted((x.key, x.deleted) for x in t.state().collect()) == [("b", False), ("c", True)]
+    t.apply(spark.createDataFrame([(1, "put", "a", "x"), (6, "put", "d", "z"), (8, "put", "c", "late")], SCHEMA))  # the first was seen before
+    assert sorted(x.key for x in t.live().collect()) == ["b", "d"]
+    t.compact()
+    assert t.state().where("deleted").count() == 0 and t.live().count() == 2
+
+
+def test_a_batch_counts_in_the_order_of_its_commit(spark, root):
+    a, b = BucketedTable(spark, root, 2), BucketedTable(spark, root, 2)
+    for t, value in ((a, "one"), (b, "two"), (a, "three")):
+        t.apply(spark.createDataFrame([(None, "put", "k", value)], SCHEMA), stamped=True)
+    assert tuple(a.get("k").first()) == ("k", 3, "three")
 
 
 def test_late_put_does_not_undo_a_delete(spark, root):
