@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, FloatType
@@ -91,6 +91,20 @@ def seeded_embedder(dims: int = 384):
     return embed
 
 
+def embedded(rows: DataFrame, column: str, embedder) -> DataFrame:
+    """``rows`` with ``vector``, by an Arrow UDF of text to vector that sees each distinct text once.
+
+    Texts meet by a 128-bit hash, so only one copy of each is passed on, in batches of like
+    length, which is what padding models want. Null texts have a null vector; a failing embedder fails
+    the job and leaves nothing behind.
+    """
+    key = [F.xxhash64(column).alias("__a"), F.xxhash64(F.lit(1), column).alias("__b")]
+    one = rows.where(F.col(column).isNotNull()).select(*key, F.col(column).alias("__text")).groupBy("__a", "__b").agg(F.min("__text").alias("__text"))
+    made = one.sortWithinPartitions(F.length("__text")).select("__a", "__b", embedder("__text").alias("vector"))
+    named = rows.drop("vector").select("*", *[F.when(F.col(column).isNotNull(), k).alias(n) for k, n in zip(key, ("__a", "__b"))])
+    return named.join(made, ["__a", "__b"], "left").drop("__a", "__b")
+
+
 def wordpieces(text: str, vocab: dict[str, int], most: int = 256) -> list[int]:
     """WordPiece ids: lower case, split at white space and around punctuation, longest known piece first."""
     out = []

@@ -4,11 +4,11 @@ import string
 
 import pytest
 
-from quern.functions.vectors import seeded_embedder
+from quern.functions.vectors import embedded, seeded_embedder
 from quern.operators import evaluate, search
 from quern.operators import index as X
 from quern.operators.vectors import scan_top
-from quern.plans.search import SearchError, SearchIndex
+from quern.plans.search import IncompatibleIndex, SearchError, SearchIndex
 from quern.plans.search_queries import QUERIES
 from quern.sources import files
 from quern.streaming import feed
@@ -88,6 +88,98 @@ def test_index_life(spark, root):
         ix.search("x")
 
 
+def answers(ix, *texts):
+    q = ix.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    return sorted((r.query_id, r.id, round(r.score, 6), r["rank"]) for r in ix.search(q).collect())
+
+
+def test_incremental_equals_one_batch_and_reopening_reads(spark, root, monkeypatch):
+    r = random.Random(4)
+    words = "search index query vector cluster kubernetes docker storage ranking token".split()
+    docs = {f"d{i}": " ".join(r.choices(words, k=r.randrange(3, 12))) for i in range(30)}
+    asked = ["kubernetes cluster", "serch vectors", "docker"]
+    s = "id string, text string"
+    grown = SearchIndex(spark, root + "/grown", embedder=seeded_embedder(16))
+    grown.add_batch(spark.createDataFrame([(k, "old words " + v[:9]) for k, v in list(docs.items())[:20]] + [("gone", "docker docker")], s))
+    answers(grown, "docker")
+    grown.add_batch(spark.createDataFrame(list(docs.items())[10:], s))
+    answers(grown, "docker")
+    grown.delete(["gone"])
+    grown.add_batch(spark.createDataFrame(list(docs.items())[:12], s))
+    whole = SearchIndex(spark, root + "/whole", embedder=seeded_embedder(16))
+    whole.add_batch(spark.createDataFrame(list(docs.items()), s))
+    want = answers(whole, *asked)
+    assert answers(grown, *asked) == want and len(grown._manifest()["segments"]) == 3
+    a, b = (sorted(map(tuple, x.tables()["vocab"].collect())) for x in (grown, whole))
+    assert a == b and grown.tables()["stats"].first() == whole.tables()["stats"].first()
+    again = SearchIndex(spark, root + "/grown", embedder=seeded_embedder(16))
+    monkeypatch.setattr(again, "_segment", None)  # a rebuild would fail
+    assert answers(again, *asked) == want
+    merged = again._merged(again._manifest())
+    assert again.files.create_json(f"segments-log/{merged['number']:010d}.json", merged)
+    assert answers(again, *asked) == want and len(again._manifest()["segments"]) == 1
+
+
+def test_no_batch_is_lost(spark, root):
+    a, b = SearchIndex(spark, root, lexical_only=True), SearchIndex(spark, root, lexical_only=True)
+    a.add("one", "first words")
+    b.add("two", "second words")  # opened before the other wrote
+    a.add_batch(spark.createDataFrame([], "id string, text string"))
+    c = SearchIndex(spark, root, lexical_only=True)
+    c.add("three", "third words")
+    for ix in (a, b, c):
+        assert {x.id for x in ix.search("words").collect()} == {"one", "two", "three"}
+
+
+def test_given_vectors_lock_and_format(spark, root):
+    ix = SearchIndex(spark, root, embedder=seeded_embedder(4), dims=4, exclusive=True)
+    ix.add("a", "alpha text", [0.0, 0.0, 0.0, 1.0])
+    ix.add("b", "beta text")
+    with pytest.raises(SearchError):
+        ix.add("c", "gamma", [1.0])
+    with pytest.raises(SearchError):
+        SearchIndex(spark, root, exclusive=True)
+    have = {r.doc_id: r.vector for r in ix.tables()["vectors"].collect()}
+    assert have["a"] == [0.0, 0.0, 0.0, 1.0] and len(have["b"]) == 4
+    ix.add("a", "alpha text again")
+    assert {r.doc_id: r.vector for r in ix.tables()["vectors"].collect()}["a"] != [0.0, 0.0, 0.0, 1.0]
+    ix.close()
+    SearchIndex(spark, root, exclusive=True).close()
+    ix.files.create_json("segments-log/0000009999.json", {"format": 0})
+    with pytest.raises(IncompatibleIndex):
+        SearchIndex(spark, root)
+
+
+def test_each_text_is_embedded_once(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts.map(lambda t: [float(len(t))])
+
+    rows = spark.createDataFrame([(i, ["aa", "b", None, ""][i % 4], 9.0) for i in range(40)], "id long, text string, vector double")
+    got = {(r.text, tuple(r.vector) if r.vector else None) for r in embedded(rows, "text", embed).collect()}
+    assert got == {("aa", (2.0,)), ("b", (1.0,)), ("", (0.0,)), (None, None)} and seen.value == 3
+
+
+def test_depth_of_fusion(spark):
+    r = random.Random(8)
+    s = "query_id long, doc_id long, score double"
+    for n, w in ((10, 2.0), (3, 2.0), (10, 3.0), (10, 0.5)):
+        ids = list(range(400))
+        kw = spark.createDataFrame([(q, i, float(r.randrange(30))) for q in range(3) for i in r.sample(ids, 150)], s)
+        vec = spark.createDataFrame([(q, i, r.randrange(1, 200) / 200) for q in range(3) for i in r.sample(ids, 350)], s)
+        depth = search.fusion_depth(n, w_vec=w)
+        assert (depth is None) == (w == 0.5)
+        if depth is not None:
+            cut = search.top(vec, depth).drop("rank")
+            assert sorted(search.rrf(kw, vec, w_vec=w, n=n).collect()) == sorted(search.rrf(kw, cut, w_vec=w, n=n).collect())
+
+
 def test_quality_figures(spark):
     res = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "query_id long, doc_id string, rank int")
     rel = spark.createDataFrame([(1, "b"), (2, "x"), (3, "gone")], "query_id long, doc_id string")
