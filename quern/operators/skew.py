@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: A key with at least one in this many of the rows is heavy. There can be no more such keys than this.
 HEAVY_IN = 1000
 
 
-def join_by_term(rows: DataFrame, stats: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+def join_by_term(rows: DataFrame, stats: DataFrame, key: str, count: str, spread: str, kept: bool = False) -> DataFrame:
     """Left join ``rows`` to ``stats`` (unique by ``key``) without any task getting all rows of a heavy key.
 
     ``count`` is the column of ``stats`` with the key's number of rows in ``rows``. Keys with one in
     ``HEAVY_IN`` of the rows or more are broadcast: their number is at most ``HEAVY_IN`` by
     definition, so the broadcast's size does not grow with the data. All others go through an
     ordinary shuffle join in which the heavy rows are spread by ``spread`` under a salt that has no
-    partner. Null keys match nothing.
+    partner. Null keys match nothing. ``stats`` is read three times and therefore written first,
+    unless the caller has ``kept`` it.
     """
+    stats = stats if kept else written(stats, "stats")
     value = [c for c in stats.columns if c != key]
     total = stats.agg(F.sum(count).alias("__total"))
     heavy = (

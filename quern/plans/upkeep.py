@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changefeed import BucketedTable
-from ..operators.worklist import work_for_next_run
+from ..operators.worklist import listed, work_for_next_run
 from ..session import scratch, table
 
 
@@ -34,6 +36,38 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return work.select("id", "request_id")
 
 
+def p4_processed(spark: SparkSession, d: str) -> DataFrame:
+    """What was processed once all work is done, though a worker lost its lease on the way.
+
+    The first worker leases all shards and stops; its leases run out. The second takes half of them
+    over and commits. The first wakes up and tries to commit everything: it is fenced off. A third
+    does the rest, and repeats a commit as after a lost answer. Nothing is skipped or repeated.
+    """
+    now = [0.0]
+    tables = [table(spark, d, n) for n in ("index_requests", "file_hashes", "index_runs")]
+    ledger = listed(spark, scratch(spark, "ledger"), *tables, shards=4, clock=lambda: now[0])
+    at = dt.datetime(2100, 1, 1, tzinfo=dt.timezone.utc)
+
+    def work(leases: list[dict]) -> list[bool]:
+        done = []
+        for lease in leases:
+            mine = ledger.leased_items(lease)
+            done.append(ledger.complete(lease, mine.select("id", "request_id"), mine, at))
+        return done
+
+    stale = ledger.lease("first", 60, 4)
+    now[0] = 61
+    work(ledger.lease("second", 60, 2))
+    now[0] = 122
+    again = ledger.lease("third", 60, 4)
+    assert not any(work(stale))
+    assert all(work(again)) and ledger.complete(again[0], tables[0].limit(0), tables[0].limit(0), at)
+    ledger.fold()
+    assert ledger.pending().isEmpty()
+    done = ledger.results()
+    return done if done is not None else spark.createDataFrame([], "id string, request_id long")
+
+
 _APPLICABLE = r"""
 WITH named AS (
   SELECT key, seq, value, lower(regexp_replace(op, '^\s+|\s+$', '', 'g')) AS o FROM wal_records
@@ -46,7 +80,7 @@ WITH named AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_current": p3_current, "p4_found": p4_found}
+QUERIES = {"p3_found": p3_found, "p3_current": p3_current, "p4_found": p4_found, "p4_processed": p4_processed}
 
 SQL = {
     "p3_found": _APPLICABLE + "SELECT key, seq FROM ordered WHERE n = 1 AND NOT deleted",
@@ -64,3 +98,5 @@ SELECT id, request_id FROM req LEFT JOIN rec ON rec.path = req.id AND rec.n = 1
 WHERE req.n = 1 AND (rec.sha IS NULL OR rec.sha <> req.sha)
 """,
 }
+
+SQL["p4_processed"] = SQL["p4_found"]

@@ -28,10 +28,10 @@ def test_lease_expiry_fencing_and_retry(spark, root):
     led = WorkLedger(spark, root, 2, lambda: now[0])
     items = spark.createDataFrame([(f"i{k}", k, SHA(str(k))) for k in range(20)], ITEMS)
     assert led.enqueue(items, "one") and not led.enqueue(items, "one")
-    first, second = led.lease("w1", 10), led.lease("w2", 10)
-    assert {first["shard"], second["shard"]} == {0, 1} and led.lease("w3", 10) is None
+    first, second = led.lease("w1", 10)[0], led.lease("w2", 10)[0]
+    assert {first["shard"], second["shard"]} == {0, 1} and led.lease("w3", 10) == []
     now[0] = 11
-    third = led.lease("w3", 10)  # w1's lease ran out
+    third = led.lease("w3", 10)[0]  # w1's lease ran out
     assert third["shard"] == first["shard"] and third["token"] > first["token"]
     mine = led.leased_items(first)
     assert not led.complete(first, mine, mine, T(5))  # fenced off
@@ -44,6 +44,10 @@ def test_lease_expiry_fencing_and_retry(spark, root):
     assert led.pending().count() == 0 and led.results().count() == 20
     led.enqueue(spark.createDataFrame([("i3", 99, SHA("new"))], ITEMS), "two")
     assert [(r.id, r.request_id) for r in led.pending().collect()] == [("i3", 99)]
+    assert led.fold() == 4 and led.fold() == 0 and led.files.names("done") == []
+    assert [(r.id, r.request_id) for r in led.pending().collect()] == [("i3", 99)] and led.results().count() == 20
+    assert not led.enqueue(items, "one") and led.complete(third, mine, mine, T(5))  # late retries add nothing
+    assert WorkLedger(spark, root, 2, lambda: now[0]).pending().count() == 1
 
 
 def test_extra_columns_and_empty(spark, root):
