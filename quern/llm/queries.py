@@ -21,8 +21,7 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = terms.log_entropy(terms.current_records(table(spark, d, "doc_tokens")))
-    return rows.where("tf >= 3 and tf * 20 >= doc_len and df between 2 and 5").select("doc_id", "term")
+    return terms.distinctive(terms.current_records(table(spark, d, "doc_tokens"))).select("doc_id", "term")
 
 
 def p5_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +38,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_texts(table(spark, d, "pdf_pages")).where("stretch > 300").select("document_id", "page").distinct()
+    return split.split_texts(table(spark, d, "pdf_pages")).where("forced").select("document_id", "page").distinct()
 
 
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_by_term
+from ..session import written
 
 
 def current_records(doc_tokens: DataFrame) -> DataFrame:
@@ -30,12 +32,13 @@ def log_entropy(records: DataFrame) -> DataFrame:
 
     weight = ln(1 + tf) * (1 - H / ln N) with H the entropy of the term's spread over records and N
     the number of records; with one record the second factor is 1. Two aggregations give all of it:
-    H = ln gf - sum(tf ln tf) / gf needs no share per record. The weights of heavy terms are
-    broadcast (at most 1000 by definition), the others joined by a shuffle (see ``join_by_term``).
+    H = ln gf - sum(tf ln tf) / gf needs no share per record. The first one's result is written, as
+    the second reads it and so does the join. The weights of heavy terms are broadcast (at most 1000
+    by definition), the others joined by a shuffle (see ``join_by_term``).
     """
     n = records.agg(F.count(F.lit(1)).alias("__records"))
     tokens = records.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    tf = tokens.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = written(tokens.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     stats = tf.groupBy("term").agg(F.sum("tf").alias("gf"), F.count(F.lit(1)).alias("df"), F.sum(F.col("tf") * F.log("tf")).alias("__s"))
     entropy = F.log("gf") - F.col("__s") / F.col("gf")
     stats = stats.crossJoin(F.broadcast(n)).select("term", "gf", "df", F.when(F.col("__records") > 1, F.greatest(F.lit(0.0), 1 - entropy / F.log("__records"))).otherwise(F.lit(1.0)).alias("g"))
@@ -43,59 +46,125 @@ def log_entropy(records: DataFrame) -> DataFrame:
     return rows.select("doc_id", "term", "tf", "doc_len", "gf", "df", (F.log1p("tf") * F.col("g")).alias("weight"))
 
 
-def last_seen_counts(terms: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms, their occurrences and their numbers of records; ``records`` must ascend.
+def distinctive(records: DataFrame, least_tf: int = 3, least_percent: int = 5, records_of_term: tuple[int, int] = (2, 5)) -> DataFrame:
+    """``log_entropy`` rows of the terms that set a record apart.
 
-    Ordered by term and then record, a token opens a new record of its term exactly if the record
-    last seen with that term is another: one comparison a token, no sets.
+    A term in at most m records has an entropy of at most ln m, so at ``least_tf`` occurrences its
+    weight is at least ln(1 + least_tf) * (1 - ln m / ln N): terms of that weight are the candidates.
+    Of them count those that come often enough, make up enough of the record and are shared by the wanted
+    number of records.
     """
-    codes, names = pd.factorize(terms)
-    order = np.argsort(codes, kind="stable")
-    c, r = codes[order], records[order]
-    last_differs = np.ones(len(c), dtype=bool)
-    last_differs[1:] = (c[1:] != c[:-1]) | (r[1:] != r[:-1])
-    return names, np.bincount(codes, minlength=len(names)), np.bincount(c[last_differs], minlength=len(names))
+    low, high = records_of_term
+    n = records.agg(F.count(F.lit(1)).alias("__records"))
+    bound = math.log1p(least_tf) * F.when(F.col("__records") > 1, 1 - math.log(high) / F.log("__records")).otherwise(1.0) - 1e-9
+    heavy = log_entropy(records).crossJoin(F.broadcast(n)).where(F.col("weight") >= bound).drop("__records")
+    return heavy.where((F.col("tf") >= least_tf) & (F.col("tf") * 100 >= F.col("doc_len") * least_percent) & F.col("df").between(low, high))
 
 
-def _counters(most: int):
-    schema = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
+SEEN = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pd.DataFrame] = []
-        held = 0
 
-        def merged() -> pd.DataFrame:
-            return pd.concat(kept).groupby("term", sort=False, as_index=False).sum()
+class LastSeen:
+    """Per term, its occurrences, its records and the record it was last seen in: no set of records is kept.
+
+    Tokens must come ordered by record. A token opens a new record of its term exactly if the
+    record last seen with the term is another.
+    """
 
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.occurrences, self.records, self.last = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def add(self, terms: pa.Array, record: np.ndarray, n: np.ndarray) -> None:
+        """Take in tokens: their terms, records and numbers of occurrences."""
+        coded = terms.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        at = np.fromiter((self.place.setdefault(t, len(self.place)) for t in names), np.int64, len(names))
+        while len(self.place) > len(self.last):
+            for c in ("occurrences", "records", "last"):
+                setattr(self, c, np.concatenate([getattr(self, c), np.zeros(len(self.last) if c != "last" else len(getattr(self, c)), np.int64)]))
+        code = at[coded.indices.to_numpy(zero_copy_only=False)]
+        order = np.argsort(code, kind="stable")  # by term, within a term still by record
+        code, record, n = code[order], record[order], n[order]
+        opens = np.ones(len(code), dtype=bool)
+        first = np.ones(len(code), dtype=bool)
+        first[1:] = code[1:] != code[:-1]
+        opens[1:] = first[1:] | (record[1:] != record[:-1])
+        head = np.flatnonzero(first)
+        seen = self.records[code[head]] > 0
+        opens[head[seen]] = self.last[code[head[seen]]] != record[head[seen]]
+        self.occurrences[code[head]] += np.add.reduceat(n, head)
+        self.records[code[head]] += np.add.reduceat(opens.astype(np.int64), head)
+        self.last[code[head]] = record[np.append(head[1:], len(code)) - 1]
+
+    def rows(self) -> pa.RecordBatch:
+        n = len(self.place)
+        return pa.RecordBatch.from_arrays([pa.array(list(self.place), pa.string()), pa.array(self.occurrences[:n]), pa.array(self.records[:n])], schema=SEEN)
+
+
+def _tokens(parts: int, salts: int):
+    """A record's tokens, equal ones as one row with their number, with the part that their term goes to."""
+    schema = pa.schema([("part", pa.int32()), ("term", pa.string()), ("record", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column("tokens")
             sizes = np.diff(tokens.offsets.to_numpy())
-            flat = tokens.flatten().to_numpy(zero_copy_only=False)
+            flat = tokens.flatten()
             if not len(flat):
                 continue
-            names, occ, recs = last_seen_counts(flat, np.repeat(np.arange(len(sizes)), sizes))
-            kept.append(pd.DataFrame({"term": names, "occurrences": occ, "records": recs}))
-            held += len(names)
-            if held > most:
-                kept = [merged()]
-                held = len(kept[0])
-                if held > most // 2:  # a record lies in one batch, so partial counts add up wherever they are cut
-                    yield pa.RecordBatch.from_pandas(kept.pop(), schema=schema, preserve_index=False)
-                    held = 0
-        if kept:
-            yield pa.RecordBatch.from_pandas(merged(), schema=schema, preserve_index=False)
+            coded = flat.dictionary_encode()
+            width = len(coded.dictionary)
+            line = np.repeat(np.arange(len(sizes)), sizes)
+            pair, n = np.unique(line * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            line, code = np.divmod(pair, width)
+            h = np.fromiter((zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()), np.int64, width)
+            record = batch.column("doc_id").to_numpy()[line]
+            part = (h[code] + (record * 2654435761 >> 7) % salts * 40503) % parts
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), coded.dictionary.take(pa.array(code)), pa.array(record), pa.array(n)], schema=schema)
+
+    return run
+
+
+def _counted(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = LastSeen()
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if len(seen.place) > most:
+                # the triples are handed on between two records, so that none is counted in both halves
+                record = batch.column("record").to_numpy()
+                new = int(np.searchsorted(record, last, "right"))
+                if new < len(record):
+                    if new:
+                        seen.add(batch.column("term").slice(0, new), record[:new], batch.column("n").to_numpy()[:new])
+                        batch = batch.slice(new)
+                    yield seen.rows()
+                    seen = LastSeen()
+            record = batch.column("record").to_numpy()
+            seen.add(batch.column("term"), record, batch.column("n").to_numpy())
+            last = record[-1]
+        if seen.place:
+            yield seen.rows()
 
     return run
 
 
-def term_counts(records: DataFrame, most: int = 1_000_000) -> DataFrame:
+def term_counts(records: DataFrame, most: int = 1_000_000, salts: int = 16) -> DataFrame:
     """``(term, occurrences, records)`` of each distinct term, by last-seen counters.
 
-    A record's tokens stay together, so each task runs its counters over whole records and hands on
-    one row per term; these are hash-partitioned by term and added up. A hot term thus arrives as
-    one row per task. ``most`` bounds the terms a task holds; beyond it partial counts are passed on.
+    Equal tokens of a record are combined where they are read. Tokens are hash-partitioned by term and,
+    within a partition, ordered by record; each term then has one triple: occurrences, records, last
+    record. A term's records are dealt to ``salts`` partitions by their ids, so a term in every record
+    is no single task's, and the triples of the salts, which share no record, add up. A record's tokens
+    may come in several rows. ``most`` bounds the terms that a task holds; beyond it triples are handed on.
     """
-    partial = records.select("tokens").mapInArrow(_counters(most), "term string, occurrences long, records long")
+    parts = max(salts, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tokens = records.select("doc_id", "tokens").mapInArrow(_tokens(parts, salts), "part int, term string, record long, n long")
+    ordered = tokens.repartitionById(parts, "part").sortWithinPartitions("record")
+    partial = ordered.select("term", "record", "n").mapInArrow(_counted(most), "term string, occurrences long, records long")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

@@ -56,3 +56,20 @@ def test_empty_one_record_and_a_long_record(spark):
     one = terms.current_records(spark.createDataFrame([(1, 1, ["a", "a", "b" * 100_000], T)], S))
     assert {r.tf: round(r.weight, 9) for r in terms.log_entropy(one).collect()} == {2: round(math.log(3), 9), 1: round(math.log(2), 9)}
     assert {r.mark for r in terms.marked_terms(one).collect()} == {"rare"}
+
+
+def test_a_record_in_several_rows_counts_once(spark):
+    r = random.Random(6)
+    rows = [(r.randrange(20), [r.choice("abcdefgh") for _ in range(r.randrange(6))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(5)
+    want = {t: (sum(w.count(t) for _, w in rows), len({d for d, w in rows if t in w})) for t in "abcdefgh"}
+    for most in (1_000_000, 2):
+        assert {x.term: (x.occurrences, x.records) for x in terms.term_counts(df, most).collect()} == want
+
+
+def test_distinctive_terms(spark, rows):
+    recs = terms.current_records(spark.createDataFrame(rows, S))
+    every = terms.log_entropy(recs).collect()
+    for low, high in ((2, 5), (2, 30)):
+        got = {(x.doc_id, x.term) for x in terms.distinctive(recs, 2, 5, (low, high)).collect()}
+        assert got == {(x.doc_id, x.term) for x in every if x.tf >= 2 and x.tf * 20 >= x.doc_len and low <= x.df <= high} and got
