@@ -5,11 +5,17 @@ ranks are sorted; under the null hypothesis of random lists the k-th smallest of
 beta distribution, and the smallest of these probabilities, corrected for the number of lists, is
 the item's significance. List weights generalise the number of lists: a list of weight w stands
 for w equal lists (w need not be whole, as the beta distribution is not confined to that).
+
+The minimum hangs on a single order statistic: what an item reaches in its other lists does not
+count, so an item that is first in three lists and tenth in one can fall behind one that is third
+in all. The significance is therefore stabilised as by a jackknife: it is evaluated for every
+pair of lists alone, the others left out, and the geometric mean of these is what ranks.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -19,6 +25,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from ..operators.skew import rank_descending
+from ..session import written
 
 #: Score columns, and which of a ranker's weights goes with each.
 LISTS = {"kw": "w_kw", "coverage": "w_kw", "tfidf": "w_kw", "vec": "w_vec"}
@@ -59,11 +66,20 @@ def least_probability(ranks: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return p.min(axis=1)
 
 
+def stable_probability(ranks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per row, the geometric mean over all pairs of lists of the least probability within the pair."""
+    n, lists = ranks.shape
+    pairs = list(combinations(range(lists), 2))
+    r, w = np.concatenate([ranks[:, p] for p in pairs]), np.concatenate([weights[:, p] for p in pairs])
+    logs = np.log(np.maximum(least_probability(r, w), 1e-300)).reshape(len(pairs), n)
+    return np.exp(np.round(logs.mean(axis=0), 12))  # so that equal items stay equal whatever the order of their lists
+
+
 @pandas_udf(DoubleType())
 def _significance(kw: pd.Series, coverage: pd.Series, tfidf: pd.Series, vec: pd.Series, w_kw: pd.Series, w_vec: pd.Series) -> pd.Series:
     ranks = np.stack([kw, coverage, tfidf, vec], axis=1)
     weights = np.stack([w_kw, w_kw, w_kw, w_vec], axis=1)
-    return pd.Series(least_probability(ranks, weights) if len(ranks) else np.empty(0))
+    return pd.Series(stable_probability(ranks, weights) if len(ranks) else np.empty(0))
 
 
 def latest_candidates(scores: DataFrame) -> DataFrame:
@@ -98,12 +114,12 @@ def aggregate_ranks(scores: DataFrame, queries: DataFrame, weights: DataFrame, c
 
     A candidate's normalised rank in a list is its place (ties share the middle one) over the
     number of the query's candidates, and 1 where the score is absent. ``significance`` is the
-    uncorrected minimum times the number of lists, at most 1; smaller is better. Candidates of
+    stabilised minimum times the two lists of a pair, at most 1; smaller is better. Candidates of
     queries that are not in ``queries`` are left out; extra columns are ignored. A query of more
     than ``cut`` candidates is ranked in slices (see ``rank_descending``), with the same result.
     """
     wanted = ranker_weights(queries, weights)
-    rows = latest_candidates(scores).join(wanted, "query_id")
+    rows = written(latest_candidates(scores).join(wanted, "query_id"), "candidates")  # read four times
     sizes = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.where(F.col("n") > cut)
 
@@ -125,7 +141,7 @@ def aggregate_ranks(scores: DataFrame, queries: DataFrame, weights: DataFrame, c
     both = usual.unionByName(large)
     mean = sum(F.col(c) * F.col(w) for c, w in LISTS.items()) / (3 * F.col("w_kw") + F.col("w_vec"))
     least = _significance(*LISTS, "w_kw", "w_vec")
-    return both.select("query_id", "doc_id", least.alias("least"), mean.alias("mean_rank")).select("query_id", "doc_id", F.least(F.lit(1.0), F.col("least") * len(LISTS)).alias("significance"), "least", "mean_rank")
+    return both.select("query_id", "doc_id", least.alias("least"), mean.alias("mean_rank")).select("query_id", "doc_id", F.least(F.lit(1.0), F.col("least") * 2).alias("significance"), "least", "mean_rank")
 
 
 def ranking(scores: DataFrame, queries: DataFrame, weights: DataFrame, top: int | None = None, cut: int = 200_000) -> DataFrame:

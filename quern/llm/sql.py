@@ -16,14 +16,16 @@ WITH one AS (
     rank() OVER (PARTITION BY query_id, list ORDER BY s DESC NULLS LAST) AS r,
     count(*) OVER (PARTITION BY query_id, list, s) AS ties FROM long
 ), normal AS (
-  SELECT query_id, doc_id, CASE WHEN s IS NULL THEN 1.0::DOUBLE ELSE (r + (ties - 1) / 2.0::DOUBLE) / candidates END AS x,
+  SELECT query_id, doc_id, list, CASE WHEN s IS NULL THEN 1.0::DOUBLE ELSE (r + (ties - 1) / 2.0::DOUBLE) / candidates END AS x,
     CASE WHEN list = 'vec' THEN w_vec ELSE w_kw END AS w, judged FROM sized JOIN weighted USING (query_id)
-), upto AS (
-  SELECT *, sum(w) OVER (PARTITION BY query_id, doc_id ORDER BY x, w ROWS UNBOUNDED PRECEDING)::INT AS a,
-    sum(w) OVER (PARTITION BY query_id, doc_id)::INT AS m FROM normal
+), pairs AS (
+  SELECT a.query_id, a.doc_id, least(a.x, b.x) AS lo, greatest(a.x, b.x) AS hi, (CASE WHEN a.x < b.x THEN a.w ELSE b.w END)::INT AS n, (a.w + b.w)::INT AS m
+  FROM normal a JOIN normal b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.list < b.list
+), stable AS (
+  SELECT query_id, doc_id, exp(round(avg(ln(least(hi ** m, list_sum(list_transform(range(n, m + 1), lambda i: (factorial(m) / (factorial(i::INT) * factorial((m - i)::INT)))::DOUBLE * lo ** i * (1 - lo) ** (m - i)))))), 12)) AS p
+  FROM pairs GROUP BY ALL
 ), probable AS (
-  SELECT query_id, doc_id, judged, min(least(1, list_sum(list_transform(range(a, m + 1), lambda i: (factorial(m) / (factorial(i::INT) * factorial((m - i)::INT)))::DOUBLE * x ** i * (1 - x) ** (m - i))))) AS p,
-    sum(x * w) / sum(w) AS mean_rank FROM upto GROUP BY ALL
+  SELECT query_id, doc_id, judged, any_value(p) AS p, sum(x * w) / sum(w) AS mean_rank FROM normal JOIN stable USING (query_id, doc_id) GROUP BY ALL
 )
 """
 
@@ -41,7 +43,7 @@ WITH latest AS (
 
 SQL = {
     "p1_found": _RANKED + "SELECT query_id, doc_id FROM probable WHERE judged QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p, mean_rank, doc_id) <= 3",
-    "p1_ranking": _RANKED + "SELECT query_id, doc_id, round(least(1, 4 * p) + 1e-11, 9) AS significance, round(mean_rank + 1e-11, 9) AS mean_rank FROM probable",
+    "p1_ranking": _RANKED + "SELECT query_id, doc_id, round(least(1, 2 * p) + 1e-11, 9) AS significance, round(mean_rank + 1e-11, 9) AS mean_rank FROM probable",
     "p5_found": _CURRENT + "SELECT doc_id, term FROM tf JOIN stats USING (term) WHERE tf >= 3 AND tf * 20 >= doc_len AND df BETWEEN 2 AND 5",
     "p5_weights": _CURRENT + "SELECT doc_id, term, tf, df, round(ln(1 + tf) * greatest(0, 1 - (ln(gf) - s / gf) / ln(n)), 6) AS weight FROM tf JOIN stats USING (term), n",
     "p6_found": _CURRENT + "SELECT term, CASE WHEN df = 1 THEN 'rare' ELSE 'common' END AS mark FROM stats, n WHERE df = 1 OR df * 100 >= 30 * n",

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from quern.llm.rankagg import beta_cdf, least_probability, ranking
+from quern.llm.rankagg import beta_cdf, least_probability, ranking, stable_probability
 
 T = dt.datetime(2025, 1, 1)
 S = "query_id long, doc_id long, kw double, coverage double, tfidf double, vec double, scored_at timestamp"
@@ -51,3 +51,18 @@ def test_slices_rank_as_one_sort(spark):
     q, w = spark.createDataFrame([(1, "r")], "query_id long, ranker string"), spark.createDataFrame([("r", 1.0, 1.0, 2.0)], W)
     df = spark.createDataFrame(rows, S)
     assert ranking(df, q, w, cut=50).orderBy("position").collect() == ranking(df, q, w).orderBy("position").collect()
+
+
+def test_stable_probability():
+    r, w = np.random.default_rng(1).random((40, 4)), np.tile([1.0, 1, 1, 2], (40, 1))
+    got = stable_probability(r, w)
+    for i in range(40):
+        logs = []
+        for a in range(4):
+            for b in range(a + 1, 4):
+                (x, u), (y, v) = sorted([(r[i, a], int(w[i, a])), (r[i, b], int(w[i, b]))])
+                logs.append(math.log(min(binomial(u, v + 1, x), binomial(u + v, 1, y))))
+        assert math.isclose(got[i], math.exp(sum(logs) / 6), rel_tol=1e-9)
+    # first, tenth, third and first of 40 come before third, third, twelfth and ninth
+    a, b = stable_probability(np.array([[1, 10, 3, 1], [9, 9, 8, 3]]) / 40, np.ones((2, 4)))
+    assert a < b
