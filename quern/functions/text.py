@@ -67,6 +67,13 @@ def deletions(term, depth: int = 2) -> Column:
     return out
 
 
+def parts(term, n: int) -> Column:
+    """The term cut into ``n`` parts of nearly one length, each with its place (from 1)."""
+    t = _col(term)
+    at = lambda i: F.floor(F.length(t) * i / n).cast("int")
+    return F.array(*[F.struct(F.substring(t, at(i) + 1, at(i + 1) - at(i)).alias("part"), (at(i) + 1).alias("place")) for i in range(n)])
+
+
 def words(text) -> Column:
     """Words between white space."""
     return F.filter(F.split(F.coalesce(_col(text), F.lit("")), r"\s+"), lambda w: w != "")

@@ -1,22 +1,32 @@
 """Lexical retrieval, scoring and fusion for batches of queries. Every frame carries ``query_id``.
 
-Postings are joined on terms, so the cost is that of the postings hit; a query's terms are few, and
-whether a side is broadcast is decided at run time by its measured size. Rankings keep no more
+Postings are joined on terms, so the cost is that of the postings hit; whether the queries' side is
+broadcast is decided by its measured size. Rankings keep no more
 than the wanted places of a query per task before their shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 K1, B = 1.2, 0.75
-#: Longest term whose deletions are listed; longer ones are compared within equal length.
+#: Longest term whose deletions are listed.
 LISTED = 24
+#: Most rows of what a batch of queries wants that are broadcast.
+MOST_WANTED = 500_000
+#: Cells of a matrix of queries by documents that one step of a task scores.
+CELLS = 4_000_000
 
 
 def top(scores: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
@@ -34,61 +44,190 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def _hits(weight: DataFrame, tf: DataFrame, lengths: DataFrame | None) -> DataFrame:
-    hits = weight.join(tf, "term")
-    return hits if "dl" in tf.columns else hits.join(lengths, "doc_id")
+def by_document(want: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """Postings ``(key, doc_id, ...)`` joined to what queries want of them, ``(query_id, key, ...)``, clustered by document.
+
+    What is wanted is measured: up to ``MOST_WANTED`` rows it is broadcast, so that only postings
+    that some query wants are shuffled, by document, and the sums per query and document that follow need no
+    further shuffle. No task gets all postings of a common key. Beyond that both sides are shuffled by key.
+    """
+    want = written(want, "wanted")
+    if want.count() > MOST_WANTED:
+        return want.join(postings, key)
+    hit = postings.join(F.broadcast(want.select(key).distinct()), key, "left_semi").repartition("doc_id")
+    return hit.join(F.broadcast(want), key)
+
+
+def _hits(weight: DataFrame, tf: DataFrame, lengths: DataFrame | None, candidates: DataFrame | None) -> DataFrame:
+    hits = by_document(weight, tf, "term")
+    if "dl" not in tf.columns:
+        hits = hits.join(lengths, "doc_id")
+    return hits if candidates is None else hits.join(candidates.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+
+
+def bm25_weights(terms: DataFrame, vocab: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(query_id, term, w, avgdl)``: what a query gives for a term."""
+    return terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("cnt") * idf(F.col("n"), F.col("df"))).alias("w"), (F.col("total_len") / F.col("n")).alias("avgdl"))
+
+
+def tfidf_weights(terms: DataFrame, vocab: DataFrame, stats: DataFrame) -> DataFrame:
+    return terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("cnt") * F.log(F.col("n") / F.col("df"))).alias("w"))
 
 
-def bm25(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame | None, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``(query_id, doc_id, score)`` of documents with any term, score above 0; ``lengths`` may be None where ``tf`` has ``dl``."""
-    weight = terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("cnt") * idf(F.col("n"), F.col("df"))).alias("w"), (F.col("total_len") / F.col("n")).alias("avgdl"))
-    hits = _hits(weight, tf, lengths)
+def bm25_impact(k1: float = K1, b: float = B) -> Column:
+    """What a posting counts for, apart from the term's weight."""
     f = F.col("tf")
-    part = F.col("w") * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    return f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def bm25(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame | None, stats: DataFrame, k1: float = K1, b: float = B, candidates: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc_id, score)`` of documents with any term, score above 0; of ``candidates`` (query_id, doc_id) only, if given.
+
+    ``lengths`` may be None where ``tf`` has ``dl``. Statistics are those of the whole collection in any case.
+    """
+    hits = _hits(bm25_weights(terms, vocab, stats), tf, lengths, candidates)
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * bm25_impact(k1, b)).alias("score")).where("score > 0")
 
 
 def tfidf(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame | None, stats: DataFrame) -> DataFrame:
-    weight = terms.join(vocab.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("cnt") * F.log(F.col("n") / F.col("df"))).alias("w"))
-    hits = _hits(weight, tf, lengths)
+    hits = _hits(tfidf_weights(terms, vocab, stats), tf, lengths, None)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf") / F.col("dl")).alias("score")).where("score > 0")
 
 
+def _block_scorer(uri: str, k: int, digits: int):
+    """Score runs of documents against all queries at once, in a matrix of queries by documents, and hand on each query's best ``k`` of a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+        wanted = pq.read_table(root, filesystem=fs, columns=["query_id", "term", "w"], partitioning=None).sort_by("term")
+        coded = wanted.column("term").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        place = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        first = np.searchsorted(code, np.arange(len(place) + 1))
+        queries, line = np.unique(wanted.column("query_id").to_numpy(), return_inverse=True)
+        weight = wanted.column("w").to_numpy()
+        most = max(1, CELLS // max(1, len(queries)))
+
+        def scored(t: pa.Table) -> pa.RecordBatch:
+            term = t.column("term").combine_chunks().dictionary_encode()
+            term = term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term
+            at = np.array([place[x] for x in term.dictionary.to_pylist()], dtype=np.int64)[term.indices.to_numpy(zero_copy_only=False)]
+            docs, d = np.unique(t.column("doc_id").to_numpy(), return_inverse=True)
+            n = first[at + 1] - first[at]
+            hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at], n)
+            cell = line[hit] * len(docs) + np.repeat(d, n)
+            score = np.bincount(cell, weights=weight[hit] * np.repeat(t.column("impact").to_numpy(), n), minlength=len(queries) * len(docs))
+            score = np.round(score, digits).reshape(len(queries), len(docs))
+            keep = score > 0
+            if len(docs) > k:
+                keep &= score >= np.partition(score, len(docs) - k, axis=1)[:, len(docs) - k, None]
+            r, c = np.nonzero(keep)
+            order = np.lexsort((c, -score[r, c], r))  # documents ascend, so equal scores go by id
+            r, c = r[order], c[order]
+            fits = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c = r[fits], c[fits]
+            return pa.RecordBatch.from_arrays([pa.array(queries[r]), pa.array(docs[c], type=t.schema.field("doc_id").type), pa.array(score[r, c])], names=["query_id", "doc_id", "score"])
+
+        held: list[pa.Table] = []
+        docs = 0
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not t.num_rows:
+                continue
+            held.append(t)
+            docs += len(t.column("doc_id").unique())
+            if docs > most:
+                # up to the last document, which may go on in the next batch
+                rows = pa.concat_tables(held)
+                ids = rows.column("doc_id").to_numpy()
+                starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                cuts = [*starts[:-1:most], starts[-1]]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield scored(rows.slice(a, b - a))
+                held, docs = [rows.slice(starts[-1])], 1
+        if held:
+            yield scored(pa.concat_tables(held))
+
+    return run
+
+
+def best_scored(weights: DataFrame, tf: DataFrame, impact: Column, k: int, digits: int = 6) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``: the best ``k`` documents of each query by the sum of weight times impact, rounded to ``digits``.
+
+    For when only the best are wanted. Postings that some query wants are shuffled by document; each
+    task scores its documents in blocks of ``CELLS`` cells and hands on ``k`` a query and block, so
+    pairs of query and document are never materialised. ``weights`` is ``(query_id, term, w)`` and what ``impact``
+    needs besides ``tf``'s columns; beyond ``MOST_WANTED`` rows the sums are made by ``by_document``.
+    """
+    weights = written(weights, "wanted")
+    shared = [c for c in weights.columns if c not in ("query_id", "term", "w")]
+    if weights.count() > MOST_WANTED:
+        sums = by_document(weights, tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * impact), digits).alias("score"))
+        return top(sums.where("score > 0"), k)
+    terms = weights.groupBy("term").agg(*[F.first(c).alias(c) for c in shared]) if shared else weights.select("term").distinct()
+    hit = tf.join(F.broadcast(terms), "term").select("doc_id", "term", impact.cast("double").alias("impact"))
+    path = weights.inputFiles()[0].rsplit("/", 1)[0] if weights.inputFiles() else None
+    kind = dict(tf.dtypes)["doc_id"]
+    if path is None:
+        return top(tf.sparkSession.createDataFrame([], f"query_id long, doc_id {kind}, score double"), k)
+    uri = path if not path.startswith("file:") else "file://" + path.removeprefix("file://").removeprefix("file:")
+    found = hit.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_block_scorer(uri, k, digits), f"query_id long, doc_id {kind}, score double")
+    return top(found, k)
+
+
 def coverage(terms: DataFrame, frags: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)``: for each fragment of a query's terms, its share of the term in percent."""
     parts = terms.select("query_id", "term").distinct().select("query_id", "term", F.explode(T.edge_ngrams("term")).alias("fragment"))
     parts = parts.groupBy("query_id", "fragment").agg(F.sum(F.octet_length("fragment") / F.octet_length("term") * 100).alias("s"))
-    return parts.join(frags, "fragment").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    return by_document(parts, frags, "fragment").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
 def sound_alike(terms: DataFrame, codes: DataFrame, weight: float = 0.3) -> DataFrame:
     mine = terms.select("query_id", "term").distinct().select("query_id", T.soundex("term").alias("code")).where("code <> ''").groupBy("query_id", "code").agg(F.count(F.lit(1)).alias("c"))
-    return mine.join(codes, "code").groupBy("query_id", "doc_id").agg((F.sum("c") * weight).alias("score"))
+    return by_document(mine, codes, "code").groupBy("query_id", "doc_id").agg((F.sum("c") * weight).alias("score"))
 
 
 def near_terms(wanted: DataFrame, vocab: DataFrame, distance: int = 2) -> DataFrame:
     """``(term, near, distance)``: vocabulary terms at edit distance 1 to ``distance`` of each wanted term.
 
-    An equi-join on what is left after deletions (two terms within the distance share one), checked
-    by the real distance; only vocabulary of a length that can match is expanded. Terms beyond ``LISTED`` characters
-    are joined by length instead.
+    An equi-join on candidates, checked by the real distance; only vocabulary of a length that can
+    match is expanded. Up to distance 2 and ``LISTED`` characters the key is what is left after
+    deletions: two terms within the distance share one. Beyond, a wanted term is cut into distance + 1 parts, of
+    which edits leave at least one as it was, moved by at most the distance; so the key is a part
+    with its place and the vocabulary is expanded to its substrings of the parts' lengths. Terms too
+    short to have that many parts are compared with the vocabulary of a length that can match.
     """
     w = wanted.select("term").distinct()
-    near_length = F.sequence(F.length("term") - distance, F.length("term") + distance)
+    near_length = F.sequence(F.greatest(F.length("term") - distance, F.lit(1)), F.length("term") + distance)
     lengths = w.select(F.explode(near_length).alias("n")).distinct()
     v = vocab.select(F.col("term").alias("near")).join(lengths, F.length("near") == F.col("n"), "left_semi")
-    short = LISTED - distance
-    listed = w.where(F.length("term") <= short).select("term", F.explode(T.deletions("term", distance)).alias("v")).join(v.where(F.length("near") <= LISTED).select("near", F.explode(T.deletions("near", distance)).alias("v")), "v").select("term", "near").distinct()
-    long = w.where(F.length("term") > short).select("term", F.explode(near_length).alias("n")).join(v.select("near", F.length("near").alias("n")), "n").select("term", "near")
+    few = (F.length("term") <= LISTED - distance) & F.lit(distance <= 2)
+    pairs = []
+    if distance <= 2:
+        kept = lambda df, c: df.select(c, F.explode(T.deletions(c, distance)).alias("v"))
+        pairs.append(kept(w.where(few), "term").join(kept(v.where(F.length("near") <= LISTED), "near"), "v").select("term", "near").distinct())
+    parted = F.length("term") > distance
+    parts = w.where(~few & parted).select("term", F.explode(T.parts("term", distance + 1)).alias("p")).select("term", "p.part", "p.place")
+    parts = parts.select("term", "part", F.explode(F.sequence(F.greatest(F.col("place") - distance, F.lit(1)), F.col("place") + distance)).alias("place"))
+    sizes = parts.select(F.length("part").alias("size")).distinct()
+    places = F.sequence(F.lit(1), F.length("near") - F.col("size") + 1)
+    grams = v.crossJoin(F.broadcast(sizes)).where(F.length("near") >= F.col("size")).select("near", "size", F.explode(places).alias("place")).select("near", "place", F.expr("substring(near, place, size)").alias("part"))
+    pairs.append(parts.join(grams, ["part", "place"]).select("term", "near").distinct())
+    short = w.where(~few & ~parted).select("term", F.explode(near_length).alias("n"))
+    pairs.append(short.join(v.select("near", F.length("near").alias("n")), "n").select("term", "near"))
+    every = pairs[0]
+    for p in pairs[1:]:
+        every = every.unionByName(p)
     d = F.levenshtein("term", "near", distance)
-    return listed.unionByName(long).withColumn("distance", d).where(F.col("distance") >= 1)
+    return every.withColumn("distance", d).where(F.col("distance") >= 1)
 
 
 def typo_tolerant(terms: DataFrame, vocab: DataFrame, frags: DataFrame, distance: int = 2) -> DataFrame:
     """60 over the distance for each near vocabulary term, for documents that hold it as a fragment."""
     mine = terms.select("query_id", "term").distinct().where(F.length("term") >= 2)
     near = mine.join(near_terms(mine, vocab, distance), "term").groupBy("query_id", F.col("near").alias("fragment")).agg(F.sum(60 / F.col("distance")).alias("s"))
-    return near.join(frags, "fragment").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    return by_document(near, frags, "fragment").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
 def lexical_candidates(terms: DataFrame, vocab: DataFrame, frags: DataFrame, codes: DataFrame, distance: int = 2) -> DataFrame:

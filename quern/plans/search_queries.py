@@ -45,6 +45,10 @@ class Tables:
     def rounded(self) -> DataFrame:
         return self.bm25().withColumn("score", F.round("score", 6))
 
+    def best(self, k: int, k1: float = S.K1, b: float = S.B) -> DataFrame:
+        """The best ``k`` by BM25, rounded as ``rounded``."""
+        return S.best_scored(S.bm25_weights(self.terms, self.vocab, self.stats), self.tf, S.bm25_impact(k1, b), k)
+
     def candidates(self) -> DataFrame:
         return S.lexical_candidates(self.terms, self.vocab, X.fragments(self.tf), X.phonetic(self.tf))
 
@@ -60,7 +64,7 @@ def _top(source: str, k: int, columns: str = "query_id, doc_id, score, rank", sc
 
 @query(TOK + BM + _top("bm", 10))
 def bm25_search(spark, d):
-    return S.top(Tables(spark, d).rounded(), 10)
+    return Tables(spark, d).best(10)
 
 
 _GRID = [(0.9, 0.4), (1.2, 0.75), (1.6, 0.9)]
@@ -70,14 +74,14 @@ _GRID = [(0.9, 0.4), (1.2, 0.75), (1.6, 0.9)]
     + " UNION ALL ".join(f" SELECT {k1}::DOUBLE AS k1, {b}::DOUBLE AS b, query_id, doc_id, score FROM t{i}" for i, (k1, b) in enumerate(_GRID)))
 def bm25_param_grid(spark, d):
     t = Tables(spark, d)
-    parts = [S.top(t.bm25(k1, b).withColumn("score", F.round("score", 6)), 10).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "query_id", "doc_id", "score") for k1, b in _GRID]
+    parts = [t.best(10, k1, b).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "query_id", "doc_id", "score") for k1, b in _GRID]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(TOK + ", s AS (SELECT query_id, doc_id, round(sum(cnt * tf / dl * ln(n / df)), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), n GROUP BY ALL HAVING score > 0)" + _top("s", 10))
 def tfidf_search(spark, d):
     t = Tables(spark, d)
-    return S.top(S.tfidf(t.terms, t.tf, t.vocab, None, t.stats).withColumn("score", F.round("score", 6)).where("score > 0"), 10)
+    return S.best_scored(S.tfidf_weights(t.terms, t.vocab, t.stats), t.tf, F.col("tf") / F.col("dl"), 10)
 
 
 FR = f""", frag AS (SELECT DISTINCT doc_id, fragment FROM (SELECT doc_id, {EDGES} AS f FROM tf), unnest(f) AS u(fragment)),
@@ -234,7 +238,7 @@ def neural_expansion(spark, d):
 @query(TOK + BM + """, h AS (""" + _top("bm", 10) + """), c AS (SELECT query_id, (doc_id // 10)::VARCHAR AS doc_id, max(score) AS score, list((doc_id % 10)::INT ORDER BY rank) AS idx FROM h GROUP BY ALL)
 SELECT query_id, doc_id, score, idx FROM c""")
 def collapse_chunks(spark, d):
-    hits = S.top(Tables(spark, d).rounded(), 10)
+    hits = Tables(spark, d).best(10)
     chunks = hits.select("query_id", T.chunk_id(F.floor(F.col("doc_id") / 10), F.lit(1), (F.col("doc_id") % 10).cast("int")).alias("chunk_id"), "score", "rank")
     return S.collapse(chunks).select("query_id", "doc_id", "score", F.col("chunks.idx").alias("idx"))
 
@@ -254,18 +258,18 @@ def _recall_sql(cuts) -> str:
 
 @query(_recall_sql((10,)))
 def recall_at_10(spark, d):
-    return E.recall(S.top(Tables(spark, d).rounded(), 10), _judged(spark, d), table(spark, d, "documents"))
+    return E.recall(Tables(spark, d).best(10), _judged(spark, d), table(spark, d, "documents"))
 
 
 @query(_recall_sql((10, 20, 50, 100)))
 def recall_curve(spark, d):
-    return E.recall(S.top(Tables(spark, d).rounded(), 100), _judged(spark, d), table(spark, d, "documents"), (10, 20, 50, 100))
+    return E.recall(Tables(spark, d).best(100), _judged(spark, d), table(spark, d, "documents"), (10, 20, 50, 100))
 
 
 @query(TOK + BM + JUDGED + "SELECT query_id, CASE WHEN k = 1 THEN 'PASS' WHEN k <= 100 THEN 'RANK ' || k ELSE 'MISS' END AS verdict FROM j")
 def query_suite(spark, d):
     rel = _judged(spark, d).join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
-    return E.verdicts(S.top(Tables(spark, d).rounded(), 100), rel)
+    return E.verdicts(Tables(spark, d).best(100), rel)
 
 
 @query(TOK + BM + JUDGED + ", s AS (SELECT query_id, bm.score AS s FROM rel JOIN bm USING (query_id, doc_id)) SELECT query_id, (1 + count(*) FILTER (WHERE bm.score > s.s))::BIGINT AS gt_rank FROM s JOIN bm USING (query_id) GROUP BY query_id")

@@ -34,6 +34,32 @@ def test_golden_scores(spark):
     assert {r.doc_id: r.score for r in search.tfidf(terms(spark, ["search"]), *t).collect()} == pytest.approx({1: 0.304098831, 2: 0.202732554})
 
 
+def test_scores_of_candidates_and_of_many_queries(spark, monkeypatch):
+    t = tables(spark, {1: "kubernetes cluster deploy pod", 2: "docker container image build", 3: "kubernetes pod service ingress"})
+    asked = terms(spark, ["kubernetes", "pod", "image"])
+    every = {r.doc_id: r.score for r in search.bm25(asked, *t).collect()}
+    some = spark.createDataFrame([(1, 3), (1, 2), (1, 9), (2, 1)], "query_id long, doc_id long")
+    assert {r.doc_id: r.score for r in search.bm25(asked, *t, candidates=some).collect()} == {d: every[d] for d in (2, 3)}
+    monkeypatch.setattr(search, "MOST_WANTED", 1)
+    assert {r.doc_id: r.score for r in search.bm25(asked, *t).collect()} == pytest.approx(every)
+
+
+def test_best_scored_equals_the_whole_list(spark, monkeypatch):
+    r = random.Random(2)
+    docs = {i: " ".join(r.choices("a b c d e f g h".split(), k=r.randrange(0, 9))) for i in range(200)}
+    tf, vocab, lengths, stats = tables(spark, docs)
+    tf = tf.join(lengths, "doc_id")
+    asked = spark.createDataFrame([(q, t, r.randrange(1, 3)) for q in range(7) for t in r.sample("abcdefgh", 3)], "query_id long, term string, cnt long")
+    whole = search.bm25(asked, tf, vocab, None, stats)
+    want = sorted(map(tuple, search.top(whole.select("query_id", "doc_id", search.F.round("score", 6).alias("score")), 4).collect()))
+    weights = search.bm25_weights(asked, vocab, stats)
+    for cells, most in ((4_000_000, 1000), (30, 1000), (30, 1)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "MOST_WANTED", most)
+        assert sorted(map(tuple, search.best_scored(weights, tf, search.bm25_impact(), 4).collect())) == want
+    assert search.best_scored(weights.limit(0), tf, search.bm25_impact(), 4).count() == 0
+
+
 def test_near_terms_against_brute_force(spark):
     r = random.Random(3)
     vocab = list({"".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(300)} | {"x" * 30, "x" * 29 + "y", "x" * 28})
@@ -47,8 +73,9 @@ def test_near_terms_against_brute_force(spark):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
         return row[-1]
 
-    got = {tuple(x) for x in search.near_terms(spark.createDataFrame([(w,) for w in wanted], "term string"), spark.createDataFrame([(v,) for v in vocab], "term string")).collect()}
-    assert got == {(w, v, distance(w, v)) for w in set(wanted) for v in vocab if 1 <= distance(w, v) <= 2}
+    for most in (1, 2, 3, 5):
+        got = {tuple(x) for x in search.near_terms(spark.createDataFrame([(w,) for w in wanted], "term string"), spark.createDataFrame([(v,) for v in vocab], "term string"), most).collect()}
+        assert got == {(w, v, distance(w, v)) for w in set(wanted) for v in vocab if 1 <= distance(w, v) <= most}
 
 
 def test_fusion_constants(spark):
