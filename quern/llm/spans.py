@@ -1,14 +1,16 @@
 """Long verbatim spans shared between texts, by relative Lempel-Ziv parsing.
 
-A document is factored against a reference: each factor is the longest stretch, from where the
-parse stands, that occurs in the reference. Factors of the wanted length are shared spans. A span
-may also lie across a factor's end, where the greedy parse changed its source; so the windows that
-cross a factor boundary are looked up one by one. Together that finds every position at which a span of the
-wanted length starts.
+A document is factored against the indexed texts of a reference block: each factor is the longest
+stretch, from where the parse stands, that occurs in the reference. Factors of the wanted length
+are shared spans. A span may also lie across a factor's end, where the greedy parse changed its
+source; so the windows that cross a factor boundary are looked up one by one. Together that finds
+every position at which a span of the wanted length starts.
 
-Which references a document must be factored against is decided without comparing all with all:
+Which blocks a document must be factored against is decided without comparing all with all:
 texts are sampled by the minimum of the hashes of all short windows in a longer one (winnowing), and
-two texts that share a span of the wanted length are bound to share such an anchor.
+two texts that share a span of the wanted length are bound to share such an anchor. A text is a
+reference in the block of the smallest anchor that it shares, so the texts of a family lie in one
+block, and is sent once to each block in which it has partners, however many those are.
 """
 
 from __future__ import annotations
@@ -199,20 +201,51 @@ def _window_rows(length: int):
     return run
 
 
-def _pair_factors(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows, key, ref = [], None, None
-            for a, b, ta, tb in zip(frame["a"], frame["b"], frame["ta"], frame["tb"]):
-                ca = code_points(ta)
-                if key != b:
-                    key, cb = b, code_points(tb)
-                    ref = Reference(cb, length)
-                starts = ref.shared(ca)
-                if len(starts):
-                    rows += [(a, b, a, x, y) for x, y in merged_spans(starts, length)]
-                    rows += [(a, b, b, x, y) for x, y in merged_spans(Reference(ca, length).shared(cb), length)]
-            yield pd.DataFrame(rows, columns=["a", "b", "cls", "first", "last"])
+def _block_factors(length: int):
+    """Factor each text against the references of its block that it has to do with.
+
+    Rows come sorted by block, references first; a block's references are indexed when they are first
+    needed, once each, and the other texts stream past them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cls", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+        block, codes, indexed, waiting, rows = None, {}, {}, [], []
+
+        def parse(cls: int, doc: np.ndarray, partners: list[int]) -> None:
+            for other in partners:
+                if other not in indexed:
+                    indexed[other] = Reference(codes[other], length)
+                starts = indexed[other].shared(doc)
+                rows.extend((min(cls, other), max(cls, other), cls, x, y) for x, y in merged_spans(starts, length))
+
+        def flushed() -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        def settle() -> None:
+            for cls, partners in waiting:
+                parse(cls, codes[cls], partners)
+            waiting.clear()
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                for row in batch.slice(start, 64).to_pylist():
+                    if row["block"] != block:
+                        settle()
+                        block, codes, indexed = row["block"], {}, {}
+                    doc = code_points(row["text"])
+                    if row["reference"]:
+                        codes[row["cls"]] = doc
+                        waiting.append((row["cls"], row["partners"] or []))
+                    else:
+                        settle()  # all references are there
+                        parse(row["cls"], doc, row["partners"])
+                if len(rows) > 10_000:
+                    yield flushed()
+        settle()
+        yield flushed()
 
     return run
 
@@ -235,9 +268,10 @@ def shared_spans(texts: DataFrame, length: int = 200, group: int = 32) -> tuple[
     """Links ``(a, b)``, a < b, between distinct texts that share a span, and ``(cls, first, last)`` of the shared spans.
 
     ``texts`` is ``(cls, text, copies)``, read several times: a written table. Up to ``group``
-    texts with an anchor in common are factored against one another, which is at most
-    ``group``^2 / 2 pairs an anchor. Where more texts have an anchor, the windows around it are compared by hash, and
-    all texts with the same window are linked, pair by pair.
+    texts with an anchor in common are factored against one another in the block of the reference.
+    Where more texts have an anchor, factoring each against each would be quadratic in their number even where
+    they share nothing of the wanted length; there the windows around the anchor are compared by hash
+    and all texts with the same window are linked, pair by pair. Either way finds every link.
     """
     rows = texts.select("cls", "text").mapInArrow(_anchor_rows(length), "anchor long, cls long")
     near = Window.partitionBy("anchor").orderBy("cls")
@@ -245,27 +279,29 @@ def shared_spans(texts: DataFrame, length: int = 200, group: int = 32) -> tuple[
     few = few.groupBy("anchor").agg(F.sort_array(F.collect_list("cls")).alias("all")).where(F.size("all") > 1)
     few = written(few, "anchors")
 
-    def all_pairs(df: DataFrame) -> DataFrame:
-        first = df.select("all", F.posexplode("all").alias("i", "a"))
-        return first.select("a", F.explode(F.slice("all", F.col("i") + 2, group)).alias("b"))
-
-    candidates = all_pairs(few.where(F.size("all") <= group)).distinct()
-    left = candidates.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    factored = both.mapInPandas(_pair_factors(length), "a long, b long, cls long, first int, last int")
+    usual = few.where(F.size("all") <= group)
+    homes = usual.select("anchor", F.explode("all").alias("cls")).groupBy("cls").agg(F.min("anchor").alias("block"))
+    first = usual.select("all", F.posexplode("all").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("all", F.col("i") + 2, group)).alias("b")).distinct()
+    both_ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    asked = both_ways.join(homes.withColumnRenamed("cls", "b"), "b").groupBy("block", F.col("a").alias("cls")).agg(F.collect_list("b").alias("partners"))
+    roles = homes.withColumn("reference", F.lit(True)).join(asked, ["block", "cls"], "full").select("block", "cls", F.coalesce("reference", F.lit(False)).alias("reference"), "partners")
+    placed = texts.select("cls", "text").join(roles, "cls").repartition("block").sortWithinPartitions("block", F.col("reference").desc())
+    factored = placed.select("block", "cls", "text", "reference", "partners").mapInArrow(_block_factors(length), "a long, b long, cls long, first int, last int")
 
     found = written(factored, "factors")
     hot = few.where(F.size("all") > group).select("anchor")
     if hot.isEmpty():  # saves a second pass over the texts, which would find nothing
         return found.select("a", "b").distinct(), found.select("cls", "first", "last").distinct()
-    wanted = rows.join(hot, "anchor").groupBy("cls").agg(F.collect_list("anchor").alias("wanted"))
+    many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+    wanted = join_by_term(rows, many, "anchor", "n", "cls").where("n is not null").groupBy("cls").agg(F.collect_list("anchor").alias("wanted"))
     windows = written(texts.select("cls", "text").join(wanted, "cls").mapInPandas(_window_rows(length), "window long, cls long, at int, one boolean"), "windows")
     members = windows.where("one").select("window", "cls")
     sizes = members.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("h1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("h2")).where("n > 1")
     sizes = written(sizes, "window-sizes")
     alike = sizes.groupBy("n", "h1", "h2").agg(F.min("window").alias("window"))  # windows with the same texts give the same pairs
     close = _pairs_within(members, alike.select("window", "n"))
-    in_groups = windows.join(sizes.select("window"), "window").select("cls", F.col("at").alias("first"), (F.col("at") + length).cast("int").alias("last"))
+    in_groups = join_by_term(windows, sizes.select("window", "n"), "window", "n", "cls", kept=True).where("n is not null").select("cls", F.col("at").alias("first"), (F.col("at") + length).cast("int").alias("last"))
 
     links = found.select("a", "b").unionByName(close).distinct()
     return links, found.select("cls", "first", "last").unionByName(in_groups).distinct()
