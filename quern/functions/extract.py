@@ -51,17 +51,42 @@ _GO = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'
 
 
 def go_text(source: str) -> str:
-    """Comments without their marks and identifiers other than ``_``, in the order they stand; by lexer, not parser."""
-    out = []
+    """Package name, a line for each comment without its marks, then the identifiers other than ``_`` in the order they stand.
+
+    By lexer, not parser: identifiers of one declaration can come in another order than from a syntax
+    tree. A source without a package clause, with brackets that do not match or with a string or comment that does not end is
+    returned as it is.
+    """
+    comments, names, open_, at = [], [], [], 0
     for m in _GO.finditer(source):
+        between = source[at : m.start()]
+        at = m.end()
         s = m.group()
+        for ch in between:
+            if ch in "([{":
+                open_.append(ch)
+            elif ch in ")]}" and (not open_ or open_.pop() + ch not in ("()", "[]", "{}")):
+                return source
+            elif ch in "`\"'":
+                return source
+        if "/*" in between:
+            return source
         if s.startswith("//"):
-            out.append(s[2:].strip())
+            comments.append(s[2:].strip())
         elif s.startswith("/*"):
-            out.append(s[2:-2].strip())
-        elif s[0] not in "`\"'" and s not in GO_KEYWORDS and s != "_":
-            out.append(s)
-    return " ".join(x for x in out if x)
+            comments.append(s[2:-2].strip())
+        elif s[0] not in "`\"'":
+            names.append(s)
+    for ch in source[at:]:
+        if ch in "([{":
+            open_.append(ch)
+        elif ch in ")]}" and (not open_ or open_.pop() + ch not in ("()", "[]", "{}")) or ch in "`\"'":
+            return source
+    if open_ or len(names) < 2 or names[0] != "package":
+        return source
+    # the package name stands first and again where the tree has it
+    kept = [n for n in names if n not in GO_KEYWORDS and n != "_"]
+    return "".join(f"{x}\n" for x in [names[1], *comments]) + "".join(f"{x} " for x in kept)
 
 
 @pandas_udf(StringType())

@@ -32,6 +32,11 @@ def lexer_tokens(text) -> Column:
     return F.transform(found, lambda t: F.lower(t))
 
 
+def words_of_lexer(toks) -> Column:
+    """Of ``lexer_tokens``, those of more than one character and single letters."""
+    return F.filter(_col(toks), lambda t: (F.length(t) > 1) | t.rlike(r"^\p{L}$"))
+
+
 def edge_ngrams(term) -> Column:
     """The term and its prefixes of 3 to min(length, 10) - 1 characters."""
     t = _col(term)

@@ -61,16 +61,30 @@ def half_precision(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype=np.float16).astype(np.float32))
 
 
-def fnv64(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for byte in data:
-        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv64(texts: list[bytes]) -> np.ndarray:
+    """FNV-1a hashes, all texts a byte further at each step: the longest go first, so those still going are a prefix."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    h = np.full(len(texts), 0xCBF29CE484222325, dtype=np.uint64)
+    prime, at = 0x100000001B3, 0
+    while len(sizes) and (going := int(np.searchsorted(-sizes, -at, "left"))) >= 16:
+        h[:going] = (h[:going] ^ flat[starts[:going] + at]) * np.uint64(prime)
+        at += 1
+    for i in np.flatnonzero(sizes > at):  # the last few, much longer than the rest
+        x = int(h[i])
+        for byte in flat[starts[i] + at : starts[i] + sizes[i]].tolist():
+            x = (x ^ byte) * prime & 0xFFFFFFFFFFFFFFFF
+        h[i] = x
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def seeded_vectors(texts: list[str], dims: int = 384) -> np.ndarray:
     """A unit vector per text, from a shift-register sequence seeded by the text's FNV-1a hash; all texts step together."""
-    state = np.array([fnv64(t.encode()) for t in texts], dtype=np.uint64)
+    state = fnv64([t.encode() for t in texts])
     out = np.empty((len(texts), dims), dtype=np.float32)
     for i in range(dims):
         state ^= state << np.uint64(13)
@@ -103,28 +117,3 @@ def embedded(rows: DataFrame, column: str, embedder) -> DataFrame:
     made = one.sortWithinPartitions(F.length("__text")).select("__a", "__b", embedder("__text").alias("vector"))
     named = rows.drop("vector").select("*", *[F.when(F.col(column).isNotNull(), k).alias(n) for k, n in zip(key, ("__a", "__b"))])
     return named.join(made, ["__a", "__b"], "left").drop("__a", "__b")
-
-
-def wordpieces(text: str, vocab: dict[str, int], most: int = 256) -> list[int]:
-    """WordPiece ids: lower case, split at white space and around punctuation, longest known piece first."""
-    out = []
-    for chunk in text.lower().split():
-        word = ""
-        parts = []
-        for ch in chunk:
-            if not ch.isalnum() and ch.isprintable():
-                parts += [word, ch]
-                word = ""
-            else:
-                word += ch
-        for w in filter(None, [*parts, word]):
-            ids, start = [], 0
-            while start < len(w):
-                end = next((e for e in range(len(w), start, -1) if ("##" if start else "") + w[start:e] in vocab), None)
-                if end is None:
-                    ids = [vocab["[UNK]"]]
-                    break
-                ids.append(vocab[("##" if start else "") + w[start:end]])
-                start = end
-            out += ids
-    return [vocab["[CLS]"], *out[: most - 2], vocab["[SEP]"]]

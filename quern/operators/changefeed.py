@@ -16,6 +16,7 @@ a ``seq`` of which the caller knows that everything has arrived.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -117,6 +118,31 @@ def _combiner(labels: list[str]):
     return run
 
 
+def bloom_places(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The ``k`` places of each 64-bit hash in a filter, by double hashing."""
+    a, b = h.view(np.uint64) & np.uint64(0xFFFFFFFF), h.view(np.uint64) >> np.uint64(32) | np.uint64(1)
+    return (a[:, None] + np.arange(k, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
+
+
+def bloom_filter(h: np.ndarray, miss: float = 0.01) -> bytes:
+    """A Bloom filter of 64-bit hashes as packed bits; at most a share of ``miss`` of other hashes seems to be in it."""
+    bits = max(64, math.ceil(-len(h) * math.log(miss) / math.log(2) ** 2))
+    marks = np.zeros(bits, dtype=bool)
+    marks[bloom_places(h, bits, _functions(bits, len(h))).ravel()] = True
+    return len(h).to_bytes(8, "little") + bits.to_bytes(8, "little") + np.packbits(marks).tobytes()
+
+
+def _functions(bits: int, n: int) -> int:
+    return max(1, round(bits / max(1, n) * math.log(2))) if n else 1
+
+
+def might_hold(bloom: bytes, h: int) -> bool:
+    n, bits = int.from_bytes(bloom[:8], "little"), int.from_bytes(bloom[8:16], "little")
+    marks = np.frombuffer(bloom, dtype=np.uint8, offset=16)
+    at = bloom_places(np.array([h], dtype=np.int64), bits, _functions(bits, n))[0].astype(np.int64)
+    return bool((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all())
+
+
 def _written(fs, base: str, was: str, t: pa.Table, limit: int, mark: str) -> Iterator[dict]:
     """Write a bucket's rows, sorted by key, as one file, or as several buckets where they are too large."""
     bits, value = map(int, was.split("-"))
@@ -130,6 +156,8 @@ def _written(fs, base: str, was: str, t: pa.Table, limit: int, mark: str) -> Ite
         path = f"data/{mark}-{uuid.uuid4().hex}.parquet"
         with fs.open_output_stream(f"{base}/{path}") as out:
             pq.write_table(part, out, compression="zstd", row_group_size=64_000, write_page_index=True)
+        with fs.open_output_stream(f"{base}/{path}.bloom") as out:
+            out.write(bloom_filter(part.column("h").to_numpy()))
         yield {"was": was, "now": _label(bits + more, value | low << bits), "path": path, "rows": part.num_rows, "bytes": part.nbytes}
 
 
@@ -213,14 +241,19 @@ class BucketedTable:
         return self.state(version).where(~F.col("deleted")).select("key", "seq", "value")
 
     def get(self, key: str, version: int | None = None) -> DataFrame:
-        """The live row of one key, if any: the one file that can have it is opened, and the row groups that can."""
+        """The live row of one key, if any: the file that can have it is opened, and the row groups that can; no file if its Bloom filter rules the key out."""
         at = (self.manifest(version) or {"at": {}})["at"]
         if not at:
             return self.live(version)
         h = self.spark.range(1).select(F.xxhash64(F.lit(key)).alias("h")).first().h
         labels = list(at)
         where = _directory(labels)
-        rows = self._read([at[labels[where[h & (len(where) - 1)]]]])
+        entry = at[labels[where[h & (len(where) - 1)]]]
+        if entry:
+            fs, base = _store(self.root)
+            with fs.open_input_stream(f"{base}/{entry['path']}.bloom") as f:
+                entry = entry if might_hold(f.read(), h) else None
+        rows = self._read([entry])
         return rows.where((F.col("key") == key) & ~F.col("deleted")).select("key", "seq", "value")
 
     def _first_buckets(self, changes: DataFrame) -> dict[str, None]:
@@ -284,6 +317,7 @@ class BucketedTable:
             return True
         for m in made:
             self.files.delete(m.path)
+            self.files.delete(f"{m.path}.bloom")
         return False
 
     def vacuum(self, keep: int = 1) -> int:
@@ -293,9 +327,9 @@ class BucketedTable:
         """
         versions = self.versions()
         used = {e["path"].split("/")[1] for v in versions[-keep:] for e in self.manifest(v)["at"].values() if e}
-        gone = [n for n in self.files.names("data") if n not in used]
+        gone = [n for n in self.files.names("data") if n.removesuffix(".bloom") not in used]
         for n in gone:
             self.files.delete(f"data/{n}")
         for v in versions[:-keep]:
             self.files.delete(f"manifests/{v:010d}.json")
-        return len(gone)
+        return sum(not n.endswith(".bloom") for n in gone)

@@ -25,6 +25,19 @@ def stemmed_terms(tf: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def lexed(docs: DataFrame, key: str = "doc_id", column: str = "text", words_only: bool = True) -> DataFrame:
+    """``(key, toks)`` by the alternative lexer, words stemmed, digits and symbols as they are; with ``words_only`` no lone symbols or digits.
+
+    The stemmer runs once per distinct word; a word's stem takes its place in the record. Rows without a key are left out.
+    """
+    toks = T.lexer_tokens(column)
+    kept = T.words_of_lexer(toks) if words_only else toks
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key), F.posexplode_outer(kept).alias("pos", "term"))
+    words = rows.where(F.col("term").rlike(r"^\p{L}")).select("term").distinct().select("term", stem_terms("term").alias("stem"))
+    placed = rows.join(words, "term", "left").select(key, F.when(F.col("term").isNotNull(), F.struct("pos", F.coalesce("stem", "term").alias("t"))).alias("p"))
+    return placed.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("l")).select(key, F.col("l.t").alias("toks"))
+
+
 def term_freq(toks: DataFrame, key: str = "doc_id") -> DataFrame:
     return toks.select(key, F.explode("toks").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 

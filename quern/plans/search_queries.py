@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.embedders import wordpiece_ids
+from ..functions.wordlists import STOP_WORDS, SYNONYMS
 from ..operators import evaluate as E
 from ..operators import index as X
 from ..operators import search as S
 from ..operators.vectors import scan_top
-from ..session import table, written
+from ..session import spread, table, written
 from .search import SearchIndex
 from .text_queries import CODE, EDGES, TOK, docs_of, query_terms_of
 
@@ -279,6 +281,71 @@ def gt_rank(spark, d):
     return scores.join(mine, "query_id").groupBy("query_id").agg((1 + F.count(F.when(F.col("score") > F.col("s"), 1))).alias("gt_rank"))
 
 
+_LISTS = ", ".join(f"coalesce(avg(CASE WHEN {l} <= {n} THEN 1e0 ELSE 0 END), 0) AS {l}_{n}" for l in ("lexical", "dense") for n in (10, 20, 50, 100))
+
+
+@query(TOK + BM + SEM + JUDGED + f""", rd AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sem),
+w AS (SELECT rel.query_id, min(r.rank) AS lexical, min(rd.rank) AS dense FROM rel JOIN documents USING (doc_id) LEFT JOIN r USING (query_id, doc_id) LEFT JOIN rd USING (query_id, doc_id) GROUP BY ALL)
+SELECT count(*) AS queries, {_LISTS}, coalesce(avg(CASE WHEN lexical <= 10 OR dense <= 10 THEN 1e0 ELSE 0 END), 0) AS union_10,
+ coalesce(avg(CASE WHEN lexical <= 10 AND dense <= 10 THEN 1e0 ELSE 0 END), 0) AS both_10,
+ coalesce(avg(CASE WHEN coalesce(lexical <= 50, false) OR coalesce(dense <= 50, false) THEN 0 ELSE 1e0 END), 0) AS neither_50 FROM w""")
+def recall_of_lists(spark, d):
+    dense = _semantic(spark, d, 100)
+    lists = {"lexical": Tables(spark, d).best(100), "dense": S.top(dense, 100)}
+    return E.list_figures(lists, _judged(spark, d), table(spark, d, "documents"))
+
+
+@query(TOK + BM + JUDGED + """, v AS (SELECT j.query_id, coalesce(ranker, 'none') AS category, k FROM j JOIN search_queries USING (query_id))
+SELECT category, count(*) FILTER (WHERE k = 1) AS passed, count(*) FILTER (WHERE k BETWEEN 2 AND 100) AS ranked, count(*) FILTER (WHERE k IS NULL OR k > 100) AS missed, 0::BIGINT AS failed FROM v GROUP BY category""")
+def suite_by_category(spark, d):
+    kinds = table(spark, d, "search_queries").select("query_id", F.coalesce("ranker", F.lit("none")).alias("category"))
+    rel = _judged(spark, d).join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi").join(kinds, "query_id")
+    failed = table(spark, d, "search_queries").where("query_text is null").select("query_id")
+    return E.by_category(E.verdicts(Tables(spark, d).best(100), rel, failed))
+
+
+def _variants_sql() -> str:
+    parts = []
+    for i, (k1, b) in enumerate(_GRID):
+        for syn in (False, True):
+            qt = "wide" if syn else "plain"
+            parts.append(f"""SELECT {k1}::DOUBLE AS k1, {b}::DOUBLE AS b, {str(syn).lower()} AS synonyms, count(*) AS queries, coalesce(avg(CASE WHEN k <= 10 THEN 1e0 ELSE 0 END), 0) AS recall_10 FROM (
+ SELECT rel.query_id, min(rank) AS k FROM rel JOIN documents USING (doc_id) LEFT JOIN (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {k1 + 1}e0 / (tf + {k1}e0 * (1 - {b}e0 + {b}e0 * dl / (total_len / n)))), 6) AS score
+  FROM {qt} JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), n GROUP BY ALL HAVING score > 0)) r USING (query_id, doc_id) GROUP BY rel.query_id)""")
+    rel = JUDGED.split(", r AS")[0]
+    syn = ", ".join(f"('{k}', '{s}')" for k, v in SYNONYMS.items() for s in v)
+    return TOK + f""", s(term, syn) AS (VALUES {syn}), plain AS (SELECT DISTINCT query_id, term FROM qt), wide AS (SELECT query_id, term FROM plain UNION SELECT query_id, syn FROM plain JOIN s USING (term)){rel}
+""" + " UNION ALL ".join(parts)
+
+
+@query(_variants_sql())
+def bm25_variants(spark, d):
+    """Recall@10 for each k1 and b, with and without synonyms; a query's distinct terms count once."""
+    t = Tables(spark, d)
+    plain = table(spark, d, "search_queries").select("query_id", T.tokens("query_text").alias("toks"))
+    rel, docs = written(_judged(spark, d), "judged"), table(spark, d, "documents")
+    out = None
+    for synonyms in (False, True):
+        terms = plain.select("query_id", F.explode(T.synonyms_of("toks") if synonyms else F.array_distinct("toks")).alias("term")).withColumn("cnt", F.lit(1))
+        t.terms = written(terms, "terms")
+        for k1, b in _GRID:
+            row = E.recall(t.best(10, k1, b), rel, docs).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(synonyms).alias("synonyms"), "queries", "recall_10")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def wordpiece_lengths(spark, d):
+    """Lengths of the documents in WordPiece ids and what padding costs, by a stand-in vocabulary of characters and stop words."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    names = ["[CLS]", "[SEP]", "[UNK]", *letters, *[f"##{c}" for c in letters], *(w for w in STOP_WORDS if len(w) > 1)]
+    ids = wordpiece_ids({t: i for i, t in enumerate(names)})
+    n = F.least(F.lit(256), F.ceil(F.size(ids("text")) / 8) * 8).cast("long")
+    rows = written(spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), n.alias("n")), "lengths")
+    return E.padded_lengths(rows)
+
+
 @query()
 def index_search(spark, d):
     """The whole path: documents added to an index, all search queries answered by it."""

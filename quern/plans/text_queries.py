@@ -145,6 +145,11 @@ def alt_lexer_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", T.lexer_tokens("text").alias("toks"))
 
 
+@query()
+def alt_lexer_stemmed(spark, d):
+    return X.lexed(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
 @query(TOK + "SELECT term FROM df WHERE term LIKE 're%' ORDER BY term LIMIT 20")
 def prefix_terms(spark, d):
     return vocab_of(spark, d).where(F.col("term").startswith("re")).select("term").orderBy("term").limit(20)
@@ -309,8 +314,8 @@ def percentile_nearest_rank(spark, d):
     return E.nearest_rank_percentiles(table(spark, d, "events"), "value", ["event_type"])
 
 
-@query("""SELECT ts, strftime(ts, '%Y-%m-%d %H:%M:%S') || '  ' || rpad(event_type, 10, ' ') || '  ' || props AS line FROM events
-WHERE contains(upper(strftime(ts, '%Y-%m-%d %H:%M:%S') || '  ' || rpad(event_type, 10, ' ') || '  ' || props), 'ERROR') ORDER BY ts DESC, line DESC LIMIT 50""")
+@query("""SELECT ts, strftime(ts, '%Y-%m-%d %H:%M:%S') || '  ' || CASE WHEN length(event_type) < 10 THEN rpad(event_type, 10, ' ') ELSE event_type END || ' ' || props AS line FROM events
+WHERE contains(upper(strftime(ts, '%Y-%m-%d %H:%M:%S') || '  ' || CASE WHEN length(event_type) < 10 THEN rpad(event_type, 10, ' ') ELSE event_type END || ' ' || props), 'ERROR') ORDER BY ts DESC, line DESC LIMIT 50""")
 def log_filter_tail(spark, d):
     rows = table(spark, d, "events").select("ts", F.col("event_type").alias("event"), F.col("props").alias("detail"))
     return files.log_tail(files.log_lines(rows), "error", 50, "ts", "line")

@@ -16,18 +16,19 @@ def file_events(events: DataFrame) -> DataFrame:
     return events.where(supported("path") & kind.isNotNull()).select("seq", kind.alias("op"), F.col("path").alias("key"), F.when(kind == "put", F.col("text")).alias("value"))
 
 
-def apply_stream(changes: DataFrame, into: BucketedTable, checkpoint: str, available_now: bool = True):
+def apply_stream(changes: DataFrame, into: BucketedTable, checkpoint: str, every: str | None = None):
     """Start a query that applies a stream of changes.
 
     A micro-batch is named by its number, so one that is replayed after a failure is skipped by
-    the table; late and repeated records are settled by ``seq``.
+    the table; late and repeated records are settled by ``seq``. ``every`` is the time between
+    batches; without it the query ends when all there is is taken.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         into.apply(df, f"stream-{number}")
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
 def replayed(spark: SparkSession, source: str, schema: str, make, root: str, files_a_batch: int = 4) -> DataFrame:

@@ -1,6 +1,9 @@
 import os
 import random
 
+import numpy as np
+
+from quern.operators import changefeed
 from quern.operators.changefeed import BucketedTable, applicable
 
 SCHEMA = "seq long, op string, key string, value string"
@@ -62,10 +65,19 @@ def test_only_touched_buckets_are_read_and_replaced(spark, root):
             os.chmod(f"{root[7:]}/{e['path']}", 0o644)
     after = t.manifest()["at"]
     assert sum(before[b] != after[b] for b in after) == 1
-    assert t.live(version=1).count() == 64 and t.get("k3").first().value == "w" and t.get("none").count() == 0
+    assert t.live(version=1).count() == 64 and t.get("k3").first().value == "w" and t.get("none").count() == 0 and t.get("none").inputFiles() == []
     assert t.vacuum() == 1 and t.live().count() == 64 and t.versions() == [2]
 
 
+def test_bloom_filter():
+    r = np.random.default_rng(0)
+    h = r.integers(-(2**63), 2**63, 3000)
+    bloom = changefeed.bloom_filter(h)
+    assert all(changefeed.might_hold(bloom, int(x)) for x in h[:500])
+    assert sum(changefeed.might_hold(bloom, int(x)) for x in r.integers(-(2**63), 2**63, 3000)) < 90
+    assert not changefeed.might_hold(changefeed.bloom_filter(h[:0]), 5)
+
+
 def test_buckets_split_as_they_grow(spark, root):
     t = BucketedTable(spark, root, 1, bucket_bytes=20_000)
     want = {}

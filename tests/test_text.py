@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from quern.functions import embedders as E
 from quern.functions import extract, stem
 from quern.functions import text as T
 from quern.functions import vectors as V
@@ -74,7 +75,9 @@ def test_vectors(spark):
 
 
 def test_seeded_vectors():
-    assert V.fnv64(b"") == 14695981039346656037 and V.fnv64(b"hello") == 11831194018420276491
+    assert V.fnv64([b"", b"hello"]).tolist() == [14695981039346656037, 11831194018420276491]
+    many = [b"hello"[: i % 6] * (i % 7) for i in range(100)] + [b"x" * 300]
+    assert V.fnv64(many).tolist() == [V.fnv64([t])[0] for t in many] and len(V.fnv64([])) == 0
     assert np.allclose(V.seeded_vectors(["hello"], 4)[0], [0.65128702, -0.39551753, -0.49119005, 0.42204669], atol=1e-6)
     a = V.seeded_vectors(["hello", "world"])
     assert abs(float(a[0] @ a[1]) - 0.01526114) < 1e-5
@@ -82,9 +85,13 @@ def test_seeded_vectors():
 
 def test_wordpieces_and_extractors():
     vocab = {t: i for i, t in enumerate(["[CLS]", "[SEP]", "[UNK]", "un", "##aff", "##able", "!", "a"])}
-    assert V.wordpieces("Unaffable! a zzz", vocab) == [0, 3, 4, 5, 6, 7, 2, 1]
+    pieces = E.WordPiece(vocab, 8)
+    assert pieces.ids("Unaffable! a zzz") == [0, 3, 4, 5, 6, 7, 2, 1] == pieces.ids("unaffable! a zzz a a a a")
+    assert pieces.ids(None) == pieces.ids(" ") == [0, 1] and pieces.split("A_b e\u0301x!+\u00a0c") == ["a", "_", "b", "e\u0301x", "!", "+", "c"]
     assert extract.visible_html("<title>T</title><p>a<b> b </b>&amp;<script>x</script><style>y</style><!-- c -->") == "T\na\nb\n&\n"
-    assert extract.go_text('package main // say\nfunc Run(_ int) { x := "no" /* yes */ }') == "main say Run int x yes"
+    assert extract.go_text('package main // say\nfunc Run(_ int) { x := "no" /* yes */ }') == "main\nsay\nyes\nmain Run int x "
+    for broken in ("func f() {}", "package a; func (", 'package a; x := "no', "package a /* no", "package a; (]"):
+        assert extract.go_text(broken) == broken
 
 
 def test_synonyms_and_deletions(spark):
