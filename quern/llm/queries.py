@@ -92,4 +92,8 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_characters(table(spark, d, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (p10_found, p10_shared)}
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_links(table(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (p10_found, p10_shared, p10_links)}

@@ -307,12 +307,25 @@ def shared_spans(texts: DataFrame, length: int = 200, group: int = 32) -> tuple[
     return links, found.select("cls", "first", "last").unionByName(in_groups).distinct()
 
 
+def shared_links(documents: DataFrame, length: int = 200, group: int = 32) -> DataFrame:
+    """``(cls_a, cls_b)``, smaller first, of different texts that share a span, each named by the smallest doc_id that has it.
+
+    With the ``cls`` of every document, which ``shared_characters`` gives, this is all there is to know of
+    which documents share a span, in a size that groups of copies do not blow up: two documents do if
+    they have one ``cls`` or theirs are linked.
+    """
+    texts, _ = text_classes(documents, length)
+    links, _ = shared_spans(written(texts, "texts"), length, group)
+    return links.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"))
+
+
 def shared_pairs(documents: DataFrame, length: int = 200, group: int = 32) -> DataFrame:
     """``(doc_a, doc_b)``, smaller id first, of documents whose texts share a verbatim span of at least ``length`` code points.
 
     Between different texts every link of ``shared_spans`` is given. Documents with one and the same
     text are each paired with the first of them; up to ``group`` copies of either text are also
-    paired with all documents their text is linked to, beyond that the first stands for its copies.
+    paired with all documents their text is linked to, beyond that the first stands for its copies
+    (``shared_links`` and ``cls`` tell of all others).
     """
     texts, member = text_classes(documents, length)
     texts, member = written(texts, "texts"), written(member, "copies")

@@ -86,3 +86,6 @@ f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text)
 SELECT doc_id, coalesce(first, doc_id) AS cls, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars
 FROM documents LEFT JOIN f USING (text) LEFT JOIN c USING (doc_id)
 """
+SQL["p10_links"] = _GRAMS + """, f AS (SELECT min(doc_id) AS doc_id FROM d GROUP BY text), u AS (SELECT DISTINCT doc_id, s FROM g WHERE doc_id IN (SELECT doc_id FROM f))
+SELECT DISTINCT a.doc_id AS cls_a, b.doc_id AS cls_b FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id
+"""

@@ -95,3 +95,14 @@ def test_passage_repeated_within_texts_of_a_large_group(spark, group):
     docs |= {50: "=" * 300, 51: common[:45] + " " * 10 + common, 52: text(r, 200)}
     have = {x.doc_id: x.shared_chars for x in spans.shared_characters(spark.createDataFrame(list(docs.items()), S), 40, group).collect()}
     assert have == brute(docs, 40)[1] and have[0] >= 190
+
+
+def test_links_and_classes_tell_of_every_pair(spark):
+    r = random.Random(11)
+    copy = text(r, 300)
+    docs = {i: copy for i in range(40)} | {50: text(r, 30) + copy[100:180] + text(r, 20), 51: text(r, 90), 52: text(r, 90) + copy[:70]}
+    df = spark.createDataFrame(list(docs.items()), S)
+    links = {tuple(x) for x in spans.shared_links(df, 60).collect()}
+    cls = {x.doc_id: x.cls for x in spans.shared_characters(df, 60).collect()}
+    said = {(a, b) for a in docs for b in docs if a < b and (cls[a] == cls[b] or tuple(sorted((cls[a], cls[b]))) in links)}
+    assert said == brute(docs, 60)[0] and len(said) == 40 * 39 // 2 + 80
