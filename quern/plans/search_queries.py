@@ -165,7 +165,10 @@ def neighbours_threshold(spark, d):
     return S.top(near.select("query_id", F.col("vec_id").alias("doc_id"), "score"), 5).withColumnRenamed("doc_id", "vec_id")
 
 
-@query()
+_STEP = "pow(2, greatest(floor(log2(abs(x))), -14) - 10)"  # of half precision at x
+
+
+@query(f"SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: (CASE WHEN x = 0 THEN 0 ELSE round_even(x / {_STEP}, 0) * {_STEP} END)::FLOAT) AS embedding FROM embeddings")
 def fp16_roundtrip(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.half_precision("embedding").alias("embedding"))
 

@@ -15,6 +15,7 @@ from ..operators import search as S
 from ..operators.changefeed import BucketedTable, applicable, newest
 from ..session import scratch, spread, table
 from ..sources import files
+from ..sources.fs import SharedFiles
 from ..streaming import feed
 
 Q: dict = {}
@@ -289,10 +290,7 @@ def stream_upsert(spark, d):
     at = scratch(spark, "stream")
     source = f"{d}/events.parquet"
     schema = spark.read.parquet(source).schema
-    folder = source if not source.startswith("file:") else source[5:]
-    import os
-
-    if not os.path.isdir(folder):  # a stream reads folders
+    if not SharedFiles(spark, f"{d}").is_folder("events.parquet"):  # a stream reads folders
         spark.read.parquet(source).write.parquet(f"{at}/source")
         source = f"{at}/source"
     return feed.replayed(spark, source, schema, _event_changes, at).select("key", "seq")

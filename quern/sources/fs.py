@@ -31,6 +31,9 @@ class SharedFiles:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._p(name))
 
+    def is_folder(self, name: str) -> bool:
+        return self.exists(name) and self._fs.getFileStatus(self._p(name)).isDirectory()
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._p(name), True)
 
@@ -45,7 +48,10 @@ class SharedFiles:
         """Create a file that must not exist yet; False if another writer was first.
 
         The content is written beside it and renamed without overwriting, so readers never see half
-        a file and a writer that dies leaves only an unused part.
+        a file and a writer that dies leaves only an unused part. That a rename does not replace a
+        file is atomic on HDFS and stores with its semantics. A local disk checks and then renames,
+        which is safe within one driver at a time. Object stores without an atomic rename need a
+        committer of their own in place of this method; several writers at once are not safe there.
         """
         options = self._jvm.org.apache.hadoop.fs.Options.Rename
         part = self._p(f".{name.replace('/', '-')}.{uuid.uuid4().hex}")
