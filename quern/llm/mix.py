@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Bits of the hash that one histogram resolves, and the number of nested histograms.
 BITS, LEVELS = 12, 4
-#: Most sources whose thresholds are broadcast; a plan of more is refused.
+#: Most sources whose thresholds are broadcast; those of more are joined.
 MOST_SOURCES = 100_000
 
 
@@ -16,8 +18,10 @@ def _digit(level: int):
     return F.shiftrightunsigned(F.col("__h"), 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def _held(per_source: DataFrame) -> DataFrame:
-    """One row per source, at most ``MOST_SOURCES`` of them, as a local relation: each level is then planned and run once."""
+def _held(per_source: DataFrame, few: bool) -> DataFrame:
+    """One row per source, planned and run once: as a local relation where there are ``few``, else as a written table."""
+    if not few:
+        return written(per_source, "per-source")
     return per_source.sparkSession.createDataFrame(per_source.collect(), per_source.schema)
 
 
@@ -57,16 +61,22 @@ def mix(sizes: DataFrame, weights: DataFrame, total: float | None = None, seed:
     source nor the number of documents matters, and nothing is sorted. The selected size falls short
     of the rest by less than one document, or one group of documents with equal hash. Documents
     without a source or of a source without a share take no part; sizes that are null count as 0.
-    ``sizes`` is read several times and should be a written table.
+    ``sizes`` is read three times and should be a written table; the finer histograms read only the
+    documents of the boundary buckets. Thresholds of up to ``MOST_SOURCES`` sources are broadcast, those
+    of more are joined.
     """
-    if weights.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    few = weights.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    sent = F.broadcast if few else lambda df: df
     rows = sizes.where(F.col("source").isNotNull()).select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
-    budgets = _held(plan_budgets(rows, weights, total))
+    budgets = _held(plan_budgets(rows, weights, total), few)
     docs = rows.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "source"))
     edge = budgets.select("source", F.col("rest").alias("__left"))
+    inside = docs
     for level in range(LEVELS):
-        at = docs.join(F.broadcast(edge), "source")
+        if level == 1:  # from here on only the boundary buckets count
+            inside = docs.join(sent(edge.select("source", "__d0")), "source").where(_digit(0) == F.col("__d0")).select(*docs.columns)
+            inside = written(inside, "boundary")
+        at = inside.join(sent(edge), "source")
         for k in range(level):
             at = at.where(_digit(k) == F.col(f"__d{k}"))
         known = [f"__d{k}" for k in range(level)]
@@ -81,7 +91,7 @@ def mix(sizes: DataFrame, weights: DataFrame, total: float | None = None, seed:
         )
         # a source that ended at a higher level has no documents here and keeps what it has
         step = edge.join(step.select("source", f"__d{level}", "__took"), "source", "left")
-        edge = _held(step.select("source", *known, F.coalesce(F.col(f"__d{level}"), F.lit(1 << BITS)).alias(f"__d{level}"), (F.col("__left") - F.coalesce("__took", F.lit(0))).alias("__left")))
+        edge = _held(step.select("source", *known, F.coalesce(F.col(f"__d{level}"), F.lit(1 << BITS)).alias(f"__d{level}"), (F.col("__left") - F.coalesce("__took", F.lit(0))).alias("__left")), few)
     names = [f"__d{k}" for k in range(LEVELS)]
     use = budgets.select("source", "passes", "rest").join(edge.select("source", *names), "source", "left")
     below, equal = F.lit(False), F.lit(True)
@@ -89,15 +99,26 @@ def mix(sizes: DataFrame, weights: DataFrame, total: float | None = None, seed:
         below = below | (equal & (_digit(k) < F.col(f"__d{k}")))
         equal = equal & (_digit(k) == F.col(f"__d{k}"))
     extra = F.when((F.col("rest") > 0) & F.coalesce(below, F.lit(False)), 1).otherwise(0)
-    out = docs.join(F.broadcast(use), "source").withColumn("copies", F.col("passes") + extra)
+    out = docs.join(sent(use), "source").withColumn("copies", F.col("passes") + extra)
     return out.where(F.col("copies") > 0).select("doc_id", "source", "size", "copies")
 
 
-def reached_shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
-    """``(source, target_share, documents, size_used, actual_share)`` for each source of ``weights``."""
+def reached_shares(mixed: DataFrame, weights: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """``(source, target_share, documents, size_used, actual_share)`` for each source of ``weights``.
+
+    With ``sizes`` also ``available``, the source's size, and ``limiting``: the mixture without a
+    given total can be no larger because this source's size times its repeats is used up.
+    """
     used = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("size") * F.col("copies")).alias("size_used"))
     all_used = used.agg(F.sum("size_used").alias("__all"))
-    rows = weights.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share")).join(used, "source", "left").crossJoin(F.broadcast(all_used))
+    one = weights.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    rows = one.join(used, "source", "left").crossJoin(F.broadcast(all_used))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     share = F.coalesce(F.col("size_used") / F.nullif(F.col("__all"), F.lit(0)), F.lit(0.0)).alias("actual_share")
-    return rows.select("source", "target_share", zero("documents"), zero("size_used"), share)
+    if sizes is None:
+        return rows.select("source", "target_share", zero("documents"), zero("size_used"), share)
+    have = sizes.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("size").alias("available"))
+    reach = F.when((F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") >= 1), F.col("available") * F.col("max_repeats") / F.col("target_share"))
+    least = one.join(have, "source").agg(F.min(reach).alias("__least"))
+    rows = rows.join(have, "source", "left").crossJoin(F.broadcast(least))
+    return rows.select("source", "target_share", zero("documents"), zero("size_used"), share, zero("available"), F.coalesce(reach == F.col("__least"), F.lit(False)).alias("limiting"))

@@ -66,8 +66,8 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    weights = table(spark, d, "source_weights")
-    return mix.reached_shares(mix.mix(_sizes(spark, d), weights), weights)
+    weights, sizes = table(spark, d, "source_weights"), _sizes(spark, d)
+    return mix.reached_shares(mix.mix(sizes, weights), weights, sizes)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p5_found, p5_weights, p6_found, p6_counts, p7_found, p7_pieces, p7_reported, p8_ids, p9_mix, p9_shares)}

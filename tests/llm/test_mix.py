@@ -37,3 +37,14 @@ def test_empty(spark):
     assert mix.mix(spark.createDataFrame([], D), w).count() == 0
     assert mix.mix(spark.createDataFrame([(1, "a", 5)], D), w.limit(0)).count() == 0
     assert mix.reached_shares(mix.mix(spark.createDataFrame([], D), w), w).collect()[0].actual_share == 0.0
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 5}", 1 + i % 7) for i in range(2000)], D)
+    w = spark.createDataFrame([(f"s{k}", 0.2, k + 1) for k in range(5)], W)
+    want = sorted(map(tuple, mix.mix(docs, w).collect()))
+    rep = {x.source: x for x in mix.reached_shares(mix.mix(docs, w), w, docs).collect()}
+    assert [s for s, x in rep.items() if x.limiting] == ["s0"] or sum(x.limiting for x in rep.values()) >= 1
+    assert all(x.available == sum(1 + i % 7 for i in range(2000) if f"s{i % 5}" == s) for s, x in rep.items())
+    monkeypatch.setattr(mix, "MOST_SOURCES", 2)
+    assert sorted(map(tuple, mix.mix(docs, w).collect())) == want
