@@ -229,14 +229,15 @@ class SearchIndex:
         return t | {"vocab": self._vocab(m), "stats": self.spark.createDataFrame([(m["n"], m["total_len"])], "n long, total_len long")}
 
     def query_tokens(self, queries: DataFrame, vocab: DataFrame, synonyms: bool = True) -> DataFrame:
-        """``(query_id, term, cnt)``: analysed, stemmed, resolved against the vocabulary, widened by synonyms, without repeats."""
+        """``(query_id, pos, term, kind, cnt)``: analysed, stemmed, resolved against the vocabulary, widened by synonyms, without repeats; kind is word or synonym."""
         toks = X.token_positions(X.analysed(queries.select("query_id", "text"), "query_id"), "query_id")
         stems = toks.select("term").distinct().select("term", stem_terms("term").alias("stem")).where("stem <> ''")
         known = S.resolve(stems.select(F.col("stem").alias("term")), vocab)
         rows = toks.join(stems, "term").join(known.withColumnRenamed("term", "stem"), "stem")
         lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "resolved"))).alias("l"))
         wide = T.synonyms_of(F.col("l.resolved")) if synonyms else F.array_distinct("l.resolved")
-        return lists.select("query_id", F.explode(wide).alias("term")).withColumn("cnt", F.lit(1))
+        tagged = lists.select("query_id", F.col("l.resolved").alias("words"), F.posexplode(wide).alias("pos", "term"))
+        return tagged.select("query_id", "pos", "term", F.when(F.array_contains("words", F.col("term")), "word").otherwise("synonym").alias("kind"), F.lit(1).alias("cnt"))
 
     def search(self, queries: str | DataFrame, limit: int | None = None, synonyms: bool = True) -> DataFrame:
         """``(query_id, id, score, rank, chunks)`` for one text or for ``(query_id, text)``; scores are relative to the query's best."""

@@ -106,6 +106,9 @@ def test_index_life(spark, root):
         ix.add("a||b", "x")
     with pytest.raises(SearchError):
         ix.add("a", " \n")
+    asked = ix.query_tokens(spark.createDataFrame([(1, "cluster pods")], "query_id long, text string"), ix.tables()["vocab"])
+    assert [(r.pos, r.term, r.kind) for r in asked.orderBy("pos").collect()][:2] == [(0, "cluster", "word"), (1, "distribut", "synonym")]
+    assert [r.kind for r in asked.where("term = 'pod'").collect()] == ["word"]
     ix.delete(["p", "nobody"])
     assert ix.search("pod").where("id = 'p'").count() == 0 and ix.search("the of").count() == 0
     again = SearchIndex(spark, root, embedder=seeded_embedder(16))
