@@ -150,8 +150,8 @@ class SearchIndex:
     def _given(self, since: int, upto: int) -> DataFrame | None:
         """Vectors that callers gave with the batches of these versions."""
         parts = []
-        for v in range(since + 1, upto + 1):
-            name = (self.docs.manifest(v) or {"batches": [""]})["batches"][-1:]
+        for v in [v for v in self.docs.versions() if since < v <= upto]:
+            name = self.docs.manifest(v)["batches"][-1:]
             if name and self.files.exists(f"given/{name[0]}"):
                 parts.append(self.spark.read.schema("doc_id string, vector array<float>").parquet(f"{self.root}/given/{name[0]}").withColumn("seq", F.lit(v).cast("long")))
         out = None
@@ -220,6 +220,18 @@ class SearchIndex:
         self._vocab(m).write.parquet(f"{self.root}/segments/{name}/vocab")
         return m | {"number": m["number"] + 1, "segments": [name]}
 
+    def vacuum(self) -> int:
+        """Bring the segments up to date, then delete the files of former versions and of merged segments; returns how many data files and segments went.
+
+        Not to be run while another writer is at work.
+        """
+        m = self._refreshed()
+        gone = [s for s in self.files.names("segments") if s not in m["segments"]]
+        for s in gone:
+            self.files.delete(f"segments/{s}")
+        self.files.delete("given")  # all of it is in the segments now
+        return len(gone) + self.docs.vacuum()
+
     # --- reading -------------------------------------------------------------------------------
 
     def tables(self) -> dict[str, DataFrame]:

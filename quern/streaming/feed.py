@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.extract import supported
 from ..operators.changefeed import BucketedTable
+from ..sources.fs import SharedFiles
 
 
 def file_events(events: DataFrame) -> DataFrame:
@@ -19,13 +22,17 @@ def file_events(events: DataFrame) -> DataFrame:
 def apply_stream(changes: DataFrame, into: BucketedTable, checkpoint: str, every: str | None = None):
     """Start a query that applies a stream of changes.
 
-    A micro-batch is named by its number, so one that is replayed after a failure is skipped by
-    the table; late and repeated records are settled by ``seq``. ``every`` is the time between
-    batches; without it the query ends when all there is is taken.
+    A micro-batch is named by the stream, which is told apart by a mark in its checkpoint folder, and by
+    its number, so one that is replayed after a failure is skipped by the table, and streams
+    into one table do not clash; late and repeated records are settled by ``seq``. ``every`` is the time
+    between batches; without it the query ends when all there is is taken.
     """
+    marks = SharedFiles(changes.sparkSession, checkpoint)
+    marks.create_json("stream.json", {"stream": uuid.uuid4().hex})
+    stream = marks.read_json("stream.json")["stream"]
 
     def batch(df: DataFrame, number: int) -> None:
-        into.apply(df, f"stream-{number}")
+        into.apply(df, f"{stream}-{number}")
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()

@@ -171,6 +171,7 @@ def test_given_vectors_lock_and_format(spark, root):
         SearchIndex(spark, root, exclusive=True)
     have = {r.doc_id: r.vector for r in ix.tables()["vectors"].collect()}
     assert have["a"] == [0.0, 0.0, 0.0, 1.0] and len(have["b"]) == 4
+    assert ix.vacuum() >= 1 and {r.doc_id: r.vector for r in ix.tables()["vectors"].collect()} == have
     ix.add("a", "alpha text again")
     assert {r.doc_id: r.vector for r in ix.tables()["vectors"].collect()}["a"] != [0.0, 0.0, 0.0, 1.0]
     ix.close()
@@ -247,6 +248,12 @@ def test_stream_replay(spark, tmp_path, root):
         spark.createDataFrame(rows[i : i + 3], "seq long, op string, path string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
     got = feed.replayed(spark, str(tmp_path / "events"), "seq long, op string, path string, text string", feed.file_events, root + "/s", 1)
     assert [tuple(r) for r in got.collect()] == [("a.txt", 2, "y")] and string
+    # a second stream into the same table, whose batches have the same numbers
+    spark.createDataFrame([(9, "create", "d.md", "d")], "seq long, op string, path string, text string").coalesce(1).write.parquet(str(tmp_path / "more"))
+    table = feed.BucketedTable(spark, root + "/s/table")
+    more = spark.readStream.schema("seq long, op string, path string, text string").parquet(str(tmp_path / "more"))
+    feed.apply_stream(feed.file_events(more), table, root + "/s/other").awaitTermination()
+    assert sorted(r.key for r in table.live().collect()) == ["a.txt", "d.md"]
 
 
 def test_fusion_of_a_document_far_down_the_vector_list(spark, tmp_path):
