@@ -37,6 +37,23 @@ def _best_of(place: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(place, order, 1), np.take_along_axis(cos, order, 1)
 
 
+def _merged(place: np.ndarray, cos: np.ndarray, fresh: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beams with what is better among ``fresh`` vectors, of which ``s`` has the cosines for each beam."""
+    width = cos.shape[1]
+    if len(fresh) <= 4 * width:
+        return _best_of(np.concatenate([place, np.broadcast_to(fresh, s.shape)], 1), np.concatenate([cos, s], 1), width)
+    at = np.flatnonzero(s > cos[:, -1:])  # few pass once the beams are filled
+    if not len(at):
+        return place, cos
+    line, column = np.divmod(at, len(fresh))
+    counts = np.bincount(line, minlength=len(s))
+    most = int(counts.max())
+    slot = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    add, add_cos = np.full((len(s), most), -1, dtype=np.int32), np.full((len(s), most), FAR, dtype=np.float32)
+    add[line, slot], add_cos[line, slot] = fresh[column], s.ravel()[at]
+    return _best_of(np.concatenate([place, add], 1), np.concatenate([cos, add_cos], 1), width)
+
+
 def merge_best(best: np.ndarray, best_cos: np.ndarray, to: np.ndarray, what: np.ndarray, cos: np.ndarray) -> None:
     """Merge triples into lists of the best, in place; a pair must not come twice."""
     if not len(to):
@@ -79,19 +96,7 @@ class Graph:
         cos = np.full((b, width), FAR, dtype=np.float32)
         fresh = start
         while True:
-            s = q @ x[fresh].T
-            if len(fresh) <= 4 * width:
-                place, cos = _best_of(np.concatenate([place, np.broadcast_to(fresh, s.shape)], 1), np.concatenate([cos, s], 1), width)
-            else:
-                at = np.flatnonzero(s > cos[:, -1:])  # few pass once the beams are filled
-                line, column = np.divmod(at, len(fresh))
-                counts = np.bincount(line, minlength=b)
-                most = int(counts.max())
-                if most:
-                    slot = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-                    add, add_cos = np.full((b, most), -1, dtype=np.int32), np.full((b, most), FAR, dtype=np.float32)
-                    add[line, slot], add_cos[line, slot] = fresh[column], s.ravel()[at]
-                    place, cos = _best_of(np.concatenate([place, add], 1), np.concatenate([cos, add_cos], 1), width)
+            place, cos = _merged(place, cos, fresh, q @ x[fresh].T)
             open_ = ~expanded[place]
             if take < width:
                 open_ &= np.cumsum(open_, axis=1) <= take
@@ -209,25 +214,17 @@ class Graph:
             size = min(max(64, done), 4096, same)
             new = order[done : done + size]
             q = self.x[new]
-            mates, mate_cos = self._mates(q, min(self.m, size - 1))
             for layer in range(int(self.level[new[0]]), -1, -1):
                 found, cos = self._search(q, layer, self.beam)
-                found, cos = _best_of(np.concatenate([found, new[mates].astype(np.int32)], 1), np.concatenate([cos, mate_cos], 1), self.beam)
-                near = np.concatenate([self._diverse(found[a : a + 1024], cos[a : a + 1024], self.m) for a in range(0, size, 1024)])
+                near = np.concatenate([self._diverse(*self._with_mates(new, q, found, cos, a), self.m) for a in range(0, size, 512)])
                 self.layers[layer][new, : near.shape[1]] = near
                 self._link_back(layer, new, near)
             done += size
 
     @staticmethod
-    def _mates(q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each vector of a batch, which is not in the graph yet, the ``k`` best others of the batch."""
-        if k < 1:
-            return np.empty((len(q), 0), dtype=np.int64), np.empty((len(q), 0), dtype=np.float32)
-        places, cosines = [], []
-        for a in range(0, len(q), 512):
-            s = q[a : a + 512] @ q.T
-            s[np.arange(len(s)), np.arange(a, a + len(s))] = FAR
-            p = np.argpartition(s, len(q) - k, axis=1)[:, -k:]
-            places.append(p)
-            cosines.append(np.take_along_axis(s, p, 1))
-        return np.concatenate(places), np.concatenate(cosines)
+    def _with_mates(new: np.ndarray, q: np.ndarray, found: np.ndarray, cos: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """The beams of 512 vectors of a batch from ``a`` on, with the other vectors of the batch, which the graph does not have yet."""
+        part = slice(a, a + 512)
+        s = q[part] @ q.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -4.0
+        return _merged(found[part], cos[part], new.astype(np.int32), s)
