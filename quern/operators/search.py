@@ -94,8 +94,50 @@ def tfidf(terms: DataFrame, tf: DataFrame, vocab: DataFrame, lengths: DataFrame
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf") / F.col("dl")).alias("score")).where("score > 0")
 
 
-def _block_scorer(uri: str, k: int, digits: int):
-    """Score runs of documents against all queries at once, in a matrix of queries by documents, and hand on each query's best ``k`` of a run."""
+def _keep_best(k: int):
+    def finish(queries: np.ndarray, docs: np.ndarray, score: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        keep = score > 0
+        if len(docs) > k:
+            keep &= score >= np.partition(score, len(docs) - k, axis=1)[:, len(docs) - k, None]
+        r, c = np.nonzero(keep)
+        order = np.lexsort((c, -score[r, c], r))  # documents ascend, so equal scores go by id
+        r, c = r[order], c[order]
+        fits = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[fits], c[fits]
+        return pa.RecordBatch.from_arrays([pa.array(queries[r]), pa.array(docs[c], type=kind), pa.array(score[r, c])], names=["query_id", "doc_id", "score"])
+
+    return finish
+
+
+def _count_above(uri: str):
+    """For each ``(query_id, score)`` below ``uri``, how many documents of a block have more."""
+    held: dict[int, np.ndarray] = {}
+
+    def finish(queries: np.ndarray, docs: np.ndarray, score: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        if not held:
+            fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+            t = pq.read_table(root, filesystem=fs, columns=["query_id", "score"], partitioning=None)
+            q, x = t.column("query_id").to_numpy(), t.column("score").to_numpy()
+            order = np.lexsort((x, q))
+            q, x = q[order], x[order]
+            heads, starts = np.unique(q, return_index=True)
+            held.update({int(h): np.unique(v) for h, v in zip(heads, np.split(x, starts[1:]))})
+        out = []
+        for line, q in enumerate(queries.tolist()):
+            if (marks := held.get(q)) is not None:
+                # a score counts for all marks below it
+                at = np.bincount(np.searchsorted(marks, score[line][score[line] > 0]), minlength=len(marks) + 1)
+                out.append((q, marks, at[::-1].cumsum()[::-1][1:]))
+        ids = np.repeat(np.array([q for q, _, _ in out], dtype=np.int64), [len(m) for _, m, _ in out])
+        columns = [np.concatenate([x[i] for x in out]) if out else np.empty(0) for i in (1, 2)]
+        some = columns[1] > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(columns[0][some].astype(np.float64)), pa.array(columns[1][some].astype(np.int64))], names=["query_id", "score", "above"])
+
+    return finish
+
+
+def _block_scorer(uri: str, digits: int, finish):
+    """Score runs of documents against all queries at once, in a matrix of queries by documents, and hand on what ``finish`` makes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(uri)
@@ -118,16 +160,7 @@ def _block_scorer(uri: str, k: int, digits: int):
             hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at], n)
             cell = line[hit] * len(docs) + np.repeat(d, n)
             score = np.bincount(cell, weights=weight[hit] * np.repeat(t.column("impact").to_numpy(), n), minlength=len(queries) * len(docs))
-            score = np.round(score, digits).reshape(len(queries), len(docs))
-            keep = score > 0
-            if len(docs) > k:
-                keep &= score >= np.partition(score, len(docs) - k, axis=1)[:, len(docs) - k, None]
-            r, c = np.nonzero(keep)
-            order = np.lexsort((c, -score[r, c], r))  # documents ascend, so equal scores go by id
-            r, c = r[order], c[order]
-            fits = np.arange(len(r)) - np.searchsorted(r, r) < k
-            r, c = r[fits], c[fits]
-            return pa.RecordBatch.from_arrays([pa.array(queries[r]), pa.array(docs[c], type=t.schema.field("doc_id").type), pa.array(score[r, c])], names=["query_id", "doc_id", "score"])
+            return finish(queries, docs, np.round(score, digits).reshape(len(queries), len(docs)), t.schema.field("doc_id").type)
 
         held: list[pa.Table] = []
         docs = 0
@@ -152,6 +185,21 @@ def _block_scorer(uri: str, k: int, digits: int):
     return run
 
 
+def _uri(written_rows: DataFrame) -> str | None:
+    """Where a written table lies, as Arrow names it; None if it has no files."""
+    files = written_rows.inputFiles()
+    path = files[0].rsplit("/", 1)[0] if files else None
+    return path if path is None or not path.startswith("file:") else "file://" + path.removeprefix("file://").removeprefix("file:")
+
+
+def _wanted_postings(weights: DataFrame, tf: DataFrame, impact: Column) -> DataFrame:
+    """``(doc_id, term, impact)`` of the postings of any wanted term, clustered and sorted by document; ``weights`` are few enough to broadcast."""
+    shared = [c for c in weights.columns if c not in ("query_id", "term", "w")]
+    terms = weights.groupBy("term").agg(*[F.first(c).alias(c) for c in shared]) if shared else weights.select("term").distinct()
+    hit = tf.join(F.broadcast(terms), "term").select("doc_id", "term", impact.cast("double").alias("impact"))
+    return hit.repartition("doc_id").sortWithinPartitions("doc_id")
+
+
 def best_scored(weights: DataFrame, tf: DataFrame, impact: Column, k: int, digits: int = 6) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the best ``k`` documents of each query by the sum of weight times impact, rounded to ``digits``.
 
@@ -161,21 +209,52 @@ def best_scored(weights: DataFrame, tf: DataFrame, impact: Column, k: int, digit
     needs besides ``tf``'s columns; beyond ``MOST_WANTED`` rows the sums are made by ``by_document``.
     """
     weights = written(weights, "wanted")
-    shared = [c for c in weights.columns if c not in ("query_id", "term", "w")]
     if weights.count() > MOST_WANTED:
         sums = by_document(weights, tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * impact), digits).alias("score"))
         return top(sums.where("score > 0"), k)
-    terms = weights.groupBy("term").agg(*[F.first(c).alias(c) for c in shared]) if shared else weights.select("term").distinct()
-    hit = tf.join(F.broadcast(terms), "term").select("doc_id", "term", impact.cast("double").alias("impact"))
-    path = weights.inputFiles()[0].rsplit("/", 1)[0] if weights.inputFiles() else None
-    kind = dict(tf.dtypes)["doc_id"]
-    if path is None:
+    kind, uri = dict(tf.dtypes)["doc_id"], _uri(weights)
+    if uri is None:
         return top(tf.sparkSession.createDataFrame([], f"query_id long, doc_id {kind}, score double"), k)
-    uri = path if not path.startswith("file:") else "file://" + path.removeprefix("file://").removeprefix("file:")
-    found = hit.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_block_scorer(uri, k, digits), f"query_id long, doc_id {kind}, score double")
+    found = _wanted_postings(weights, tf, impact).mapInArrow(_block_scorer(uri, digits, _keep_best(k)), f"query_id long, doc_id {kind}, score double")
     return top(found, k)
 
 
+def best_fused(weights: DataFrame, tf: DataFrame, impact: Column, vec: DataFrame, k: float = 20.0, w_kw: float = 1.0, w_vec: float = 2.0, n: int = 10, digits: int = 6) -> DataFrame:
+    """``rrf`` of the sums of weight times impact with ``vec``, without ever forming the first list.
+
+    ``vec`` is the second list down to ``fusion_depth``. A result is in it, or else among the first
+    list's best: one of the first n + depth. So those and the second list's documents are all that
+    counts; places in the first list are found by counting, block by block, how many documents have more
+    than each of these scores. Where no depth can be given, or the queries want too much to
+    broadcast, the lists are fused whole.
+    """
+    weights = written(weights, "wanted")
+    depth, kind, uri = fusion_depth(n, k, w_kw, w_vec), dict(tf.dtypes)["doc_id"], _uri(weights)
+    if depth is None or uri is None or weights.count() > MOST_WANTED:
+        sums = by_document(weights, tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * impact), digits).alias("score"))
+        return rrf(sums.where("score > 0"), vec, k, w_kw, w_vec, n)
+    vec = written(top(vec.select("query_id", "doc_id", "score"), depth), "second-list")
+    postings = written(_wanted_postings(weights, tf, impact), "wanted-postings")
+    again = lambda: postings.repartition("doc_id").sortWithinPartitions("doc_id")
+    first = top(again().mapInArrow(_block_scorer(uri, digits, _keep_best(n + depth)), f"query_id long, doc_id {kind}, score double"), n + depth).drop("rank")
+    first = written(first, "first-list")
+    # scores of the second list's documents in the first: their postings only
+    mine = vec.select("query_id", "doc_id").join(weights.select("query_id", "term", "w"), "query_id").join(postings, ["doc_id", "term"])
+    mine = mine.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("impact")), digits).alias("score")).where("score > 0")
+    every = written(first.unionByName(mine.join(first, ["query_id", "doc_id"], "left_anti")), "places")
+    marks = _uri(every)
+    if marks is None:
+        return rrf(every, vec, k, w_kw, w_vec, n)
+    above = again().mapInArrow(_block_scorer(uri, digits, _count_above(marks)), "query_id long, score double, above long")
+    above = above.groupBy("query_id", "score").agg(F.sum("above").alias("above"))
+    rows = every.join(above, ["query_id", "score"], "left").join(vec.withColumnRenamed("score", "v").withColumnRenamed("rank", "rb"), ["query_id", "doc_id"], "full")
+    tied = Window.partitionBy("query_id", "score").orderBy(F.coalesce("v", F.lit(0.0)).desc(), "doc_id")
+    ra = F.when(F.col("score").isNotNull(), F.coalesce("above", F.lit(0)) + F.row_number().over(tied))
+    term = lambda r, w: F.coalesce(w / (k + r), F.lit(0.0))
+    scored = rows.withColumn("ra", ra).select("query_id", "doc_id", F.round(term(F.col("ra"), w_kw) + term(F.col("rb"), w_vec), 9).alias("score"))
+    return top(scored, n)
+
+
 def coverage(terms: DataFrame, frags: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)``: for each fragment of a query's terms, its share of the term in percent."""
     parts = terms.select("query_id", "term").distinct().select("query_id", "term", F.explode(T.edge_ngrams("term")).alias("fragment"))

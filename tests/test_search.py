@@ -60,6 +60,25 @@ def test_best_scored_equals_the_whole_list(spark, monkeypatch):
     assert search.best_scored(weights.limit(0), tf, search.bm25_impact(), 4).count() == 0
 
 
+def test_best_fused_equals_fusing_whole_lists(spark, monkeypatch):
+    r = random.Random(12)
+    docs = {i: " ".join(r.choices("a b c d e f g h".split(), k=r.randrange(0, 7))) for i in range(300)}
+    tf, vocab, lengths, stats = tables(spark, docs)
+    tf = tf.join(lengths, "doc_id")
+    asked = spark.createDataFrame([(q, t, 1) for q in range(6) for t in r.sample("abcdefgh", 3)] + [(9, "zzz", 1)], "query_id long, term string, cnt long")
+    # some queries have a short second list, one none, one has nothing else
+    vec = spark.createDataFrame([(q, i, r.randrange(1, 60) / 60) for q in (0, 1, 2, 3, 7) for i in r.sample(range(300), [250, 120, 5, 60, 0, 0, 0, 30][q])], "query_id long, doc_id long, score double")
+    whole = search.bm25(asked, tf, vocab, None, stats).select("query_id", "doc_id", search.F.round("score", 6).alias("score"))
+    weights = search.bm25_weights(asked, vocab, stats)
+    for n, w, most in ((10, 2.0, 1000), (3, 2.0, 1000), (10, 0.5, 1000), (10, 2.0, 1)):
+        want = sorted(map(tuple, search.rrf(whole, vec, w_vec=w, n=n).collect()))
+        for cells in (4_000_000, 70):
+            monkeypatch.setattr(search, "CELLS", cells)
+            monkeypatch.setattr(search, "MOST_WANTED", most)
+            assert sorted(map(tuple, search.best_fused(weights, tf, search.bm25_impact(), vec, w_vec=w, n=n).collect())) == want
+    assert search.best_fused(weights.limit(0), tf, search.bm25_impact(), vec.limit(0)).count() == 0
+
+
 def test_near_terms_against_brute_force(spark):
     r = random.Random(3)
     vocab = list({"".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(300)} | {"x" * 30, "x" * 29 + "y", "x" * 28})
