@@ -1,18 +1,24 @@
-"""The k most similar vectors for every vector: a navigable graph per shard, shard results merged.
+"""The k most similar vectors for every vector: floors from a navigable graph per shard, then exact lists.
+
+The graphs tell how similar the last entry of a vector's list is at least, its floor; what reaches
+the floors is then found among all vectors (``pairs.py``), so no list depends on what a graph or the
+choice of shards misses. Only the time does. Where few pairs have the cosine that is asked for, that
+cosine is the floor and no graph is built.
 
 Shards are cells of a quantiser, so that a vector needs to be looked for in few of them. The
 quantiser is fitted on a bounded sample (at most ``SAMPLE`` rows); every vector is indexed, in the
 graph of its nearest cell, and searched there and in the graphs of further near cells: those whose
 centroid is nearly as similar as that of the nearest, so a vector inside a cell needs few and one
-at a border more. How nearly follows from ``mean_probes``, the number of searches that a vector of
+at a border more, with a higher floor for it. How nearly follows from ``mean_probes``, the number of searches that a vector of
 the sample has on average. What a search finds counts for both ends. Cells have about
-``shard_rows`` vectors whatever the size of the collection, so work per vector does not grow with
-it, apart from the choice of the cells.
+``shard_rows`` vectors whatever the size of the collection, so the graphs' work per vector does not grow with
+it, apart from the choice of the cells; that of the exact lists does.
 
 Each vector is shuffled once per probe; one task builds a shard's graph as flat neighbour arrays
 and answers the searches in it, so nothing is broadcast but the centroids (at most ``CELLS``), and
-a task that is lost is simply run again. A cell that many vectors probe is answered by several
-tasks, and a cell that cannot be divided by direction (near-equal vectors) is divided by hash.
+a task that is lost is simply run again. In a cell that many vectors probe a part of them is searched,
+and a cell that cannot be divided by direction (near-equal vectors) is divided by hash; both may
+only lower floors.
 """
 
 from __future__ import annotations
@@ -28,13 +34,15 @@ from pyspark.sql import functions as F
 from ..operators.skew import join_by_term
 from ..session import ship, spread, written
 from .graph import Graph, merge_best
+from .pairs import BLOCK_SQL, SLACK, exact_lists, packed, unit_rows
 
 #: Bounds of the quantiser: rows it is fitted on and its cells.
 SAMPLE, CELLS = 131_072, 16_384
-#: Searches that one task answers, and how many times a shard's size they may be in any case, so that building its graph again pays.
+#: Searches that one task answers, and how many times a shard's size they may be in any case.
 ANSWERS, REPAID = 100_000, 8
-ROUTED = pa.schema([("part", pa.int32()), ("home", pa.bool_()), ("vec_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("unit", pa.binary())])
-FOUND = pa.schema([("vec", pa.int64()), ("near", pa.int64()), ("cosine", pa.float64())])
+ROUTED = pa.schema([("part", pa.int32()), ("home", pa.bool_()), ("vec_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("raw", pa.binary())])
+#: Elements are rounded to a ``GRID``-th where cells are chosen: products of such are exact in single precision, so copies get one cell whatever they are computed with.
+GRID = 2048
 
 
 def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
@@ -49,19 +57,17 @@ def usable_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     return rows.select("vec_id", "elements", F.xxhash64("elements").alias("k1"), F.xxhash64(F.lit(1), "elements").alias("k2"))
 
 
-def _units(elements: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Unit float32 rows of a column of lists."""
+def _rows(elements: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Float32 rows of a column of lists."""
     flat = elements.combine_chunks() if isinstance(elements, pa.ChunkedArray) else elements
-    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 class Quantiser:
     """Directions whose nearest vectors form a cell each, and how the cells are dealt to tasks.
 
     A cell of an estimated ``subs * shard_rows`` vectors is divided by hash if directions cannot
-    divide it, and its searches are dealt to ``blocks`` tasks, which all build its graph.
+    divide it; one in ``blocks`` of the searches of vectors from other cells is made in it.
     """
 
     def __init__(self, sample: np.ndarray, rows: int, shard_rows: int, probes: int, mean_probes: float):
@@ -117,8 +123,9 @@ class Quantiser:
     def _near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ``probes`` nearest cells of each row, nearest first, which of them are searched, and by how much each is less similar than the first."""
         cells, gaps = [np.empty((0, self.probes), dtype=np.int64)], [np.empty((0, self.probes), dtype=np.float32)]
+        grid = np.rint(self.centroids * GRID).T
         for a in range(0, len(x), 1024):
-            s = x[a : a + 1024] @ self.centroids.T
+            s = np.rint(x[a : a + 1024] * GRID) @ grid / np.float32(GRID * GRID)
             top = np.argpartition(-s, self.probes - 1, axis=1)[:, : self.probes]
             near = np.take_along_axis(s, top, 1)
             order = np.argsort(-near, axis=1, kind="stable")
@@ -136,23 +143,23 @@ class Quantiser:
 def _router(q: Quantiser, dim: int):
     """Rows for the shard that a vector belongs to and for those it is searched in. Copies within a batch go on as the smallest id."""
 
-    def packed(rows: np.ndarray, part: np.ndarray, home: np.ndarray, ids, k1, k2, units) -> pa.RecordBatch:
-        data = pa.py_buffer(units[rows].tobytes())
+    def routed(rows: np.ndarray, part: np.ndarray, home: np.ndarray, ids, k1, k2, elements) -> pa.RecordBatch:
+        data = pa.py_buffer(elements[rows].tobytes())
         offsets = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * (4 * dim)).tobytes())
-        unit = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, data])
-        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(home), pa.array(ids[rows]), pa.array(k1[rows]), pa.array(k2[rows]), unit], schema=ROUTED)
+        raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, data])
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(home), pa.array(ids[rows]), pa.array(k1[rows]), pa.array(k2[rows]), raw], schema=ROUTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, k1, k2 = (batch.column(c).to_numpy() for c in ("vec_id", "k1", "k2"))
             if not len(ids):
                 continue
-            units = _units(batch.column("elements"), dim)
+            elements = _rows(batch.column("elements"), dim)
             order = np.lexsort((ids, k2, k1))
             first = np.ones(len(ids), dtype=bool)
             first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
             one = order[first]
-            cells, searched = q.nearest(units[one])
+            cells, searched = q.nearest(unit_rows(elements[one]))
             at = k2[one].view(np.uint64)
             every, keys = one, at
             for n in range(cells.shape[1]):
@@ -160,18 +167,16 @@ def _router(q: Quantiser, dim: int):
                 cell, one, at = cells[kept, n], every[kept], keys[kept]
                 subs, blocks = q.subs[cell].astype(np.uint64), q.blocks[cell].astype(np.uint64)
                 start = q.base[cell] + (at % subs).astype(np.int64) * q.blocks[cell]
-                if n:
-                    yield packed(one, start + (at // subs % blocks).astype(np.int64), np.zeros(len(one), dtype=bool), ids, k1, k2, units)
-                else:  # a member of its cell, in each task that builds the graph
-                    again = np.repeat(np.arange(len(one)), q.blocks[cell])
-                    block = np.arange(len(again)) - np.repeat(np.cumsum(q.blocks[cell]) - q.blocks[cell], q.blocks[cell])
-                    yield packed(one[again], start[again] + block, np.ones(len(again), dtype=bool), ids, k1, k2, units)
+                mine = np.ones(len(one), dtype=bool)
+                if n:  # searches beyond a task's share would only raise floors further
+                    mine = at // subs % blocks == 0
+                yield routed(one[mine], start[mine], np.full(int(mine.sum()), not n), ids, k1, k2, elements)
 
     return run
 
 
-def _shard(dim: int, m: int, build_beam: int, beam: int, k: int, least: float):
-    """Build a part's graph from its members and answer all searches of the part, members' own included."""
+def _shard(dim: int, m: int, build_beam: int, beam: int, k: int, least: float, graphs: bool):
+    """Build a part's graph from its members and answer all searches of the part, members' own included: members with their floors, in blocks. Without ``graphs`` floors are ``least``."""
 
     def distinct(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, k1, k2 = (t.column(c).to_numpy() for c in ("vec_id", "k1", "k2"))
@@ -180,35 +185,38 @@ def _shard(dim: int, m: int, build_beam: int, beam: int, k: int, least: float):
         first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
         one = np.sort(order[first]) if len(ids) else order
         one = one[np.argsort(ids[one], kind="stable")]  # the graph does not depend on the order of arrival
-        flat = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float32).reshape(-1, dim)
+        flat = np.frombuffer(b"".join(t.column("raw").to_pylist()), dtype=np.float32).reshape(-1, dim)
         return ids[one], flat[one]
 
-    def triples(vec, x, near, y, i, j) -> pa.RecordBatch:
-        cos = np.minimum(np.einsum("nd,nd->n", x[i].astype(np.float64), y[j].astype(np.float64)), 1.0)
-        keep = (cos >= least) & (vec[i] != near[j])
-        return pa.RecordBatch.from_arrays([pa.array(vec[i][keep]), pa.array(near[j][keep]), pa.array(cos[keep])], schema=FOUND)
-
-    def answered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, x = distinct(rows.filter(rows.column("home")))
+    def answered(part: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, raw = distinct(rows.filter(rows.column("home")))
+        if not len(ids):
+            return
+        x = unit_rows(raw)
+        floors = np.full(len(x), least)
+        if graphs:
+            floors = raised(ids, x, *distinct(rows.filter(pa.compute.invert(rows.column("home")))))
+        yield from packed(part, ids, raw, x, floors)
+
+    def raised(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> np.ndarray:
         g = Graph(x, ids, m, build_beam)
         place, cos = g.search(x, k + 1, beam + 1)
         cos[place == np.arange(len(x))[:, None]] = -4.0  # itself
         place[cos < -3.5] = -1
         order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
         place, cos = np.take_along_axis(place, order, 1), np.take_along_axis(cos, order, 1)
-        others, y = distinct(rows.filter(pa.compute.invert(rows.column("home"))))
-        found, found_cos = g.search(y, k, beam)
-        i, c = np.nonzero((found >= 0) & (found_cos >= least - 1e-3))
-        yield triples(others, y, ids, x, i, found[i, c])
+        found, found_cos = g.search(unit_rows(y), k, beam)
         # the other way round: members of which a searching vector is among the best
+        i, c = np.nonzero((found >= 0) & (found_cos >= least - 1e-3))
         j = found[i, c]
         better = found_cos[i, c] > cos[j, -1]
         i, j, score = i[better], j[better], found_cos[i, c][better]
         both, both_cos = place.astype(np.int64), cos
         merge_best(both, both_cos, j, len(x) + i, score)
-        every, z = np.concatenate([ids, others]), np.concatenate([x, y])
-        i, c = np.nonzero((both >= 0) & (both_cos >= least - 1e-3))
-        yield triples(ids, x, every, z, i, both[i, c])
+        floors = np.where(both[:, -1] >= 0, np.maximum(both_cos[:, -1] - np.float32(SLACK), least), least)
+        every, times = np.unique(np.concatenate([ids, others]), return_counts=True)
+        floors[np.isin(ids, every[times > 1])] = least  # an id with several vectors: one may be in the other's list
+        return floors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # a part is bounded: a shard and the searches dealt to it
@@ -216,41 +224,63 @@ def _shard(dim: int, m: int, build_beam: int, beam: int, k: int, least: float):
             rows = pa.Table.from_batches(held)
             parts = rows.column("part").to_numpy()
             for p in np.unique(parts):
-                yield from answered(rows.filter(pa.array(parts == p)))
+                yield from answered(int(p), rows.filter(pa.array(parts == p)))
 
     return run
 
 
-def fitted(rows: DataFrame, n: int, dim: int, shard_rows: int, probes: int = 8, mean_probes: float = 2.25) -> Quantiser:
-    """The quantiser for ``n`` usable vectors, from the rows with the smallest hashes of their ids: at most ``SAMPLE``."""
+def _sampled(rows: DataFrame, n: int, dim: int, shard_rows: int) -> np.ndarray:
+    """Unit rows of the ``n`` usable vectors with the smallest hashes of their ids: at most ``SAMPLE``."""
     wanted = min(SAMPLE, max(4096, 256 * -(-n // shard_rows)))
     unit = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 30))
     some = rows.where(unit < F.lit(int(min(1.0, wanted / max(1, n)) * (1 << 30)))).select("elements").limit(2 * wanted).toArrow()
-    sample = np.unique(_units(some.column("elements"), dim), axis=0) if some.num_rows else np.eye(1, dim, dtype=np.float32)
+    sample = np.unique(unit_rows(_rows(some.column("elements"), dim)), axis=0) if some.num_rows else np.eye(1, dim, dtype=np.float32)
     np.random.default_rng(3).shuffle(sample)
-    return Quantiser(sample, n, shard_rows, probes, mean_probes)
+    return sample
+
+
+def fitted(rows: DataFrame, n: int, dim: int, shard_rows: int, probes: int = 8, mean_probes: float = 2.25) -> Quantiser:
+    """The quantiser for ``n`` usable vectors."""
+    return Quantiser(_sampled(rows, n, dim, shard_rows), n, shard_rows, probes, mean_probes)
+
+
+def _partners(sample: np.ndarray, n: int, least: float) -> float:
+    """How many others a vector has on average from a cosine of ``least`` on, by 4096 vectors of the sample."""
+    x = sample[:4096]
+    return (float((x @ x.T >= least).sum()) - len(x)) / max(1, len(x) * (len(x) - 1)) * n
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Vectors of an id that has several are no copies of other ids' vectors: their lists leave out the id's other vectors."""
+    key = F.struct("k1", "k2")
+    several = written(rows.groupBy("vec_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select(F.col("vec_id").alias("id")), "several")
+    if several.isEmpty():
+        return rows
+    joined = rows.join(several, rows.vec_id == several.id, "left")
+    return joined.select("vec_id", "elements", F.when(F.col("id").isNull(), F.col("k1")).otherwise(F.xxhash64("k1", "vec_id")).alias("k1"), "k2")
 
 
 def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, least: float = -1.0, shard_rows: int = 12_000, probes: int = 8, mean_probes: float = 2.25, m: int = 16, build_beam: int = 16, beam: int = 12) -> DataFrame:
-    """``(vec_id, near_id, cosine)``: for each usable vector its ``k`` most similar others, by the shard graphs.
+    """``(vec_id, near_id, cosine)``: for each usable vector its ``k`` most similar others, exactly.
 
     Vectors that are null, of another length, all zero or not finite take no part; rows that are
     repeated whole count once. Of equally similar vectors the smaller ids come first. ``least``
     leaves out pairs below a cosine. Vectors with identical elements are one entry of a graph; each
     copy's list then starts with other copies, so a group of copies of any size adds at most ``k``
-    rows a copy, and no pairs of a group are formed. An empty table gives an empty result. A vector is
-    searched in ``mean_probes`` shards on average and in ``probes`` at most.
+    rows a copy, and no pairs of a group are formed. An empty table gives an empty result. For its
+    floor a vector is searched in ``mean_probes`` shards on average and in ``probes`` at most; these,
+    ``shard_rows`` and the graph's ``m`` and beams change the time that a call takes, not its result.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = usable_vectors(vectors, dim)
-    q = fitted(rows, vectors.count(), dim, shard_rows, probes, mean_probes)
-    routed = spread(rows).mapInArrow(_router(q, dim), "part int, home boolean, vec_id long, k1 long, k2 long, unit binary")
-    found = routed.repartitionById(q.parts, "part").mapInArrow(_shard(dim, m, build_beam, beam, k, least), "vec long, near long, cosine double")
-    # from each of its shards a vector has at most k, a pair perhaps from both ends
-    entry = F.struct((-F.col("cosine")).alias("c"), F.col("near").alias("i"))
-    top = found.groupBy("vec").agg(F.slice(F.sort_array(F.collect_set(entry)), 1, k).alias("l")).select("vec", F.explode("l").alias("e"))
-    top = written(top.select("vec", F.col("e.i").alias("near"), (-F.col("e.c")).alias("cosine")), "lists")  # the searches are run once
+    rows = _apart(usable_vectors(vectors, dim))
+    n = vectors.count()
+    sample = _sampled(rows, n, dim, shard_rows)
+    graphs = _partners(sample, n, least) > 4 * k  # otherwise least is floor enough
+    q = Quantiser(sample, n, shard_rows, probes if graphs else 1, mean_probes)
+    routed = spread(rows).mapInArrow(_router(q, dim), "part int, home boolean, vec_id long, k1 long, k2 long, raw binary")
+    blocks = written(routed.repartitionById(q.parts, "part").mapInArrow(_shard(dim, m, build_beam, beam, k, least, graphs), BLOCK_SQL), "blocks")
+    top = written(exact_lists(blocks, dim, k, least), "lists")  # the comparisons are made once
 
     keyed = rows.select(F.concat_ws(":", "k1", "k2").alias("key"), "vec_id")
     several = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"), F.count(F.lit(1)).alias("n"))
@@ -273,7 +303,7 @@ def _with_copies(members: DataFrame, found: DataFrame, k: int) -> DataFrame:
     lists = near.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("near").alias("i")))).alias("l"))
     own = firsts.select(F.col("rep").alias("vec"), F.transform("firsts", lambda i: F.struct(F.lit(-1.0).alias("c"), i.alias("i"))).alias("o"))
     none = F.array().cast(entry)
-    lists = lists.join(own, "vec", "full").select("vec", F.concat(F.coalesce("o", none), F.coalesce("l", none)).alias("l"), F.col("o").isNotNull().alias("grouped"))
+    lists = lists.join(own, "vec", "full").select("vec", F.sort_array(F.concat(F.coalesce("o", none), F.coalesce("l", none))).alias("l"), F.col("o").isNotNull().alias("grouped"))
 
     alone = lists.where(~F.col("grouped")).select(F.col("vec").alias("vec_id"), "l")
     counts = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm import neighbours
+from quern.llm import neighbours, pairs
 from quern.llm.graph import Graph
 from quern.llm.neighbours import nearest, similar_pairs
 
@@ -77,3 +79,48 @@ def test_graph_of_one_shard():
     assert (place[:, 0] == np.arange(500)).all() and np.allclose(cos[:, 0], 1, atol=1e-5) and (np.diff(cos, axis=1) <= 0).all()
     assert np.mean([len(set(p[1:]) & set(t[:9])) / 9 for p, t in zip(place, true)]) > 0.95
     assert (Graph(x[:1], np.arange(1)).search(x[:2], 3, 5)[0] == [[0, -1, -1]] * 2).all() and (Graph(x[:0], np.arange(0)).search(x[:1], 2, 2)[0] == -1).all()
+
+
+@pytest.mark.parametrize("case", ["without structure", "one dense group", "many cells"])
+def test_no_neighbour_is_missed(spark, case):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1500, 64))
+    if case == "one dense group":  # more near vectors than a shard holds
+        x[300:] = x[0] + 0.2 * x[300:]
+    if case == "many cells":
+        x = r.normal(size=(30, 64))[np.arange(1500) % 30] + 0.3 * x
+    df = spark.createDataFrame(list(enumerate(x.astype(np.float32).tolist())), S)
+    true, s = brute(x.astype(np.float32).astype(float), 10)
+    got = nearest(df, shard_rows=60).groupBy("vec_id").agg({"near_id": "collect_list"}).toPandas().to_numpy()
+    assert {i: set(l) for i, l in got} == {i: set(t) for i, t in enumerate(true)}
+    want = {(min(i, j), max(i, j)) for i, t in enumerate(true.tolist()) for j in t if s[i, j] >= 0.9}
+    assert {tuple(p) for p in similar_pairs(df, 0.9, shard_rows=60).collect()} == want
+
+
+def test_ids_with_several_vectors_and_equal_cosines(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(30, 64)).astype(np.float32).tolist()
+    twice = [2 * v for v in x[4]]
+    df = spark.createDataFrame([*enumerate(x), (5, x[4]), (40, x[4]), (41, x[4]), (6, twice), (6, twice), (7, x[6])], S)
+    lists = {i: list(l) for i, l in nearest(df, k=3).orderBy("vec_id", (-F.col("cosine")), "near_id").groupBy("vec_id").agg(F.collect_list("near_id")).collect()}
+    # 4, 5, 6, 40 and 41 have vectors of one direction; the smaller ids come first, whatever the length
+    assert lists[4] == [5, 6, 40] and lists[40] == [4, 5, 6] and lists[41] == [4, 5, 6]
+    assert lists[5] == [4, 6, 40]  # its own other vector does not count
+    assert lists[6] == [4, 5, 7]
+
+
+def test_blocks_are_compared_as_far_as_they_can_reach():
+    r = np.random.default_rng(8)
+    x = pairs.unit_rows(r.normal(size=(2, 64))[np.arange(400) % 2] + 0.1 * r.normal(size=(400, 64)))
+    (a,), (b,) = (list(pairs.packed(n, np.arange(400)[n::2], x[n::2], x[n::2], np.full(200, 0.9))) for n in (0, 1))
+
+    def run(one, other):
+        named = [pa.array([other["block"][0].as_py()]), *[other[c] for c in pairs.BLOCK.names[1:]]]
+        both = pa.RecordBatch.from_arrays([*one.columns, *named], names=[*pairs.BLOCK.names, "other", *[c + "_b" for c in pairs.BLOCK.names[1:]]])
+        return pa.Table.from_batches(pairs._comparer(64, 5, 0.9)(iter([both])), schema=pairs.FOUND).to_pandas()
+
+    assert len(run(a, b)) == 0
+    got = run(a, a)
+    true, s = brute(x[::2].astype(float), 5)
+    assert {i: set(g.near) for i, g in got.groupby("vec")} == {2 * i: set((2 * t).tolist()) for i, t in enumerate(true)}
+    assert np.allclose(got.cosine, s[got.vec // 2, got.near // 2], atol=1e-12)
