@@ -309,6 +309,24 @@ def typo_tolerant(terms: DataFrame, vocab: DataFrame, frags: DataFrame, distance
     return by_document(near, frags, "fragment").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
+def candidate_keys(terms: DataFrame, vocab: DataFrame, kinds: tuple[str, ...] = ("coverage", "sound", "typo"), distance: int = 2) -> DataFrame:
+    """``(term, key, w)`` of the distinct terms: what a document that has the key, a fragment or a sound code, gets for the term. The weights of ``coverage``, ``sound_alike`` and ``typo_tolerant``."""
+    own = terms.select("term").distinct()
+    every = []
+    if "coverage" in kinds:
+        parts = own.select("term", F.explode(T.edge_ngrams("term")).alias("key"))
+        every.append(parts.withColumn("w", F.octet_length("key") / F.octet_length("term") * 100))
+    if "sound" in kinds:
+        every.append(own.select("term", T.soundex("term").alias("key"), F.lit(0.3).alias("w")).where("key <> ''"))
+    if "typo" in kinds:
+        near = near_terms(own.where(F.length("term") >= 2), vocab, distance)
+        every.append(near.select("term", F.col("near").alias("key"), (60 / F.col("distance")).alias("w")))
+    out = every[0]
+    for x in every[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("term", "key").agg(F.sum("w").alias("w"))
+
+
 def lexical_candidates(terms: DataFrame, vocab: DataFrame, frags: DataFrame, codes: DataFrame, distance: int = 2) -> DataFrame:
     """``(query_id, doc_id, coverage)``: the three kinds of match added up."""
     every = coverage(terms, frags).unionByName(sound_alike(terms, codes)).unionByName(typo_tolerant(terms, vocab, frags, distance))
@@ -350,9 +368,13 @@ def rrf(kw: DataFrame, vec: DataFrame, k: float = 20.0, w_kw: float = 1.0, w_vec
     second = vec.select("query_id", "doc_id", F.row_number().over(b).alias("rb"))
     if depth is not None:
         first, second = first.where(F.col("ra") <= depth), second.where(F.col("rb") <= depth)
-    both = first.join(second, ["query_id", "doc_id"], "full")
+    return fused_places(first.join(second, ["query_id", "doc_id"], "full"), k, w_kw, w_vec, n)
+
+
+def fused_places(places: DataFrame, k: float = 20.0, w_kw: float = 1.0, w_vec: float = 2.0, n: int = 10) -> DataFrame:
+    """The best ``n`` of ``(query_id, doc_id, ra, rb)`` by places in two lists, null where a document is in one only."""
     term = lambda r, w: F.coalesce(w / (k + F.col(r)), F.lit(0.0))
-    scored = both.select("query_id", "doc_id", F.round(term("ra", w_kw) + term("rb", w_vec), 9).alias("score"))
+    scored = places.select("query_id", "doc_id", F.round(term("ra", w_kw) + term("rb", w_vec), 9).alias("score"))
     return top(scored, n)
 
 

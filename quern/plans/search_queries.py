@@ -11,6 +11,7 @@ from ..functions.embedders import wordpiece_ids
 from ..functions.wordlists import STOP_WORDS, SYNONYMS
 from ..operators import evaluate as E
 from ..operators import index as X
+from ..operators import scan as B
 from ..operators import search as S
 from ..operators.vectors import scan_top
 from ..session import spread, table, written
@@ -55,6 +56,35 @@ class Tables:
         return S.lexical_candidates(self.terms, self.vocab, X.fragments(self.tf), X.phonetic(self.tf))
 
 
+class Blocks:
+    """What scoring by blocks needs: the documents' terms, statistics and the terms of all search queries. No postings are formed."""
+
+    def __init__(self, spark: SparkSession, d: str, terms: DataFrame | None = None):
+        self.toks = written(docs_of(spark, d), "toks")
+        self.vocab = written(self.toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "vocab")
+        self.n, self.total = self.toks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()
+        self.stats = spark.createDataFrame([(self.n, self.total)], "n long, total_len long")
+        self.terms = written(query_terms_of(spark, d) if terms is None else terms, "terms")
+
+    def coded(self, keys: DataFrame | None = None, terms: bool = True) -> B.Coded:
+        return B.coded(self.toks, self.terms.select("term") if terms else None, keys)
+
+    def bm25(self, k1: float = S.K1, b: float = S.B, terms: DataFrame | None = None) -> B.Weighted:
+        return B.Weighted(S.bm25_weights(self.terms if terms is None else terms, self.vocab, self.stats), B.bm25_impact(self.n, self.total, k1, b))
+
+    def keys(self, *kinds: str) -> DataFrame:
+        """What documents get for keys that they have; all kinds of them unless named."""
+        return written(S.candidate_keys(self.terms, self.vocab, kinds or ("coverage", "sound", "typo")), "keys")
+
+    def matches(self, *kinds: str) -> DataFrame:
+        """All pairs of query and document that match, rounded to 4 digits."""
+        keys = self.keys(*kinds)
+        return B.scan(self.coded(keys.select("key"), terms=False), [B.Keyed(self.terms, keys)], B.All(4))
+
+    def ranks(self, pairs: DataFrame) -> DataFrame:
+        return B.ranks(self.coded(), self.bm25(), pairs)
+
+
 _BM = """, bm AS (SELECT query_id, doc_id, round(sum(cnt * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {k} / (tf + {k1} * (1 - {b} + {b} * dl / (total_len / n)))), 6) AS score
  FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), n GROUP BY ALL HAVING score > 0)"""
 BM = _BM.format(k="2.2e0", k1="1.2e0", b="0.75e0")
@@ -326,15 +356,15 @@ def _variants_sql() -> str:
 @query(_variants_sql())
 def bm25_variants(spark, d):
     """Recall@10 for each k1 and b, with and without synonyms; a query's distinct terms count once."""
-    t = Tables(spark, d)
-    plain = table(spark, d, "search_queries").select("query_id", T.tokens("query_text").alias("toks"))
     rel, docs = written(_judged(spark, d), "judged"), table(spark, d, "documents")
-    out = None
+    plain = table(spark, d, "search_queries").join(rel.select("query_id").distinct(), "query_id", "left_semi").select("query_id", T.tokens("query_text").alias("toks"))
+    asked = lambda toks: plain.select("query_id", F.explode(toks).alias("term")).withColumn("cnt", F.lit(1))
+    t = Blocks(spark, d, asked(T.synonyms_of("toks")))  # these hold the plain terms
+    coded, out = t.coded(), None
     for synonyms in (False, True):
-        terms = plain.select("query_id", F.explode(T.synonyms_of("toks") if synonyms else F.array_distinct("toks")).alias("term")).withColumn("cnt", F.lit(1))
-        t.terms = written(terms, "terms")
+        terms = t.terms if synonyms else written(asked(F.array_distinct("toks")), "terms")
         for k1, b in _GRID:
-            row = E.recall(t.best(10, k1, b), rel, docs).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(synonyms).alias("synonyms"), "queries", "recall_10")
+            row = E.recall(B.ranks(coded, t.bm25(k1, b, terms), rel), rel, docs).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(synonyms).alias("synonyms"), "queries", "recall_10")
             out = row if out is None else out.unionByName(row)
     return out
 
