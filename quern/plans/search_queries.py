@@ -325,8 +325,9 @@ SELECT count(*) AS queries, {_LISTS}, coalesce(avg(CASE WHEN lexical <= 10 OR de
  coalesce(avg(CASE WHEN coalesce(lexical <= 50, false) OR coalesce(dense <= 50, false) THEN 0 ELSE 1e0 END), 0) AS neither_50 FROM w""")
 def recall_of_lists(spark, d):
     dense = _semantic(spark, d, 100)
-    lists = {"lexical": Tables(spark, d).best(100), "dense": S.top(dense, 100)}
-    return E.list_figures(lists, _judged(spark, d), table(spark, d, "documents"))
+    rel = written(_judged(spark, d), "judged")
+    lists = {"lexical": Blocks(spark, d).ranks(rel), "dense": S.top(dense, 100)}
+    return E.list_figures(lists, rel, table(spark, d, "documents"))
 
 
 @query(TOK + BM + JUDGED + """, v AS (SELECT j.query_id, coalesce(ranker, 'none') AS category, k FROM j JOIN search_queries USING (query_id))

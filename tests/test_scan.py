@@ -137,6 +137,7 @@ def many(spark, tmp_path_factory):
 #: Most rows that a query may shuffle on these tables.
 MOST = {
     "bm25_variants": 40_000,
+    "recall_of_lists": 30_000,
 }
 
 
