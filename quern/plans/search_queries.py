@@ -230,8 +230,8 @@ def _fused(kw: str, k: float, w: float, n: int, depth: int | None = None) -> str
 
 @query(TOK + BM + SEM + ", f AS (" + _fused("bm", 20, 2, 10) + ")" + _top("f", 10))
 def rrf_fuse(spark, d):
-    t = Tables(spark, d)
-    return S.best_fused(S.bm25_weights(t.terms, t.vocab, t.stats), t.tf, S.bm25_impact(), _semantic(spark, d, S.fusion_depth()))
+    t = Blocks(spark, d)
+    return B.fused(t.coded(), [t.bm25()], _semantic(spark, d, S.fusion_depth()))
 
 
 _RRF_GRID = [(10, 1.0), (20, 2.0), (60, 1.0)]

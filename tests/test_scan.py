@@ -138,6 +138,7 @@ def many(spark, tmp_path_factory):
 MOST = {
     "bm25_variants": 40_000,
     "recall_of_lists": 30_000,
+    "rrf_fuse": 100_000,
 }
 
 
