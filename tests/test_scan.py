@@ -139,6 +139,7 @@ MOST = {
     "bm25_variants": 40_000,
     "recall_of_lists": 30_000,
     "rrf_fuse": 100_000,
+    "query_suite": 30_000,
 }
 
 
