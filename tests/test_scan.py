@@ -140,6 +140,7 @@ MOST = {
     "recall_of_lists": 30_000,
     "rrf_fuse": 100_000,
     "query_suite": 30_000,
+    "recall_curve": 30_000,
 }
 
 
