@@ -141,6 +141,7 @@ MOST = {
     "rrf_fuse": 100_000,
     "query_suite": 30_000,
     "recall_curve": 30_000,
+    "suite_by_category": 30_000,
 }
 
 
