@@ -256,7 +256,8 @@ def hybrid_search(spark, d):
 m AS (SELECT query_id, max(kw) AS mk, max(vec) AS mv FROM bb GROUP BY ALL),
 s AS (SELECT query_id, doc_id, round(coalesce(CASE WHEN mk > 0 THEN 0.6e0 * kw / mk END, 0) + coalesce(CASE WHEN mv > 0 THEN 0.4e0 * vec / mv END, 0), 6) AS score FROM bb JOIN m USING (query_id) WHERE score > 0)""" + _top("s", 10))
 def blend_score(spark, d):
-    return S.blend(Tables(spark, d).rounded(), _semantic(spark, d))
+    t = Blocks(spark, d)
+    return B.blended(t.coded(), t.bm25(), _semantic(spark, d))
 
 
 @query()
