@@ -141,8 +141,7 @@ def phonetic_score(spark, d):
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(s, 4) AS score FROM fuz")
 def fuzzy_score(spark, d):
-    t = Tables(spark, d)
-    return S.typo_tolerant(t.terms, t.vocab, X.fragments(t.tf)).withColumn("score", F.round("score", 4))
+    return Blocks(spark, d).matches("typo")
 
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(coverage, 4) AS coverage FROM cand")
