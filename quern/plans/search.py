@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.stem import stem_terms
 from ..functions.vectors import embedded, seeded_embedder
 from ..operators import index as X
+from ..operators import scan as B
 from ..operators import search as S
 from ..operators.changefeed import BucketedTable
 from ..operators.vectors import scan_top
@@ -258,12 +259,14 @@ class SearchIndex:
         if isinstance(queries, str):
             queries = self.spark.createDataFrame([(0, queries)], "query_id long, text string")
         terms = written(self.query_tokens(queries, t["vocab"], synonyms), "terms")
-        scores = S.bm25(terms, t["tf"], t["vocab"], None, t["stats"])
-        found = S.lexical_candidates(terms, t["vocab"], t["frags"], t["codes"], self.fuzzy)
+        docs = t["tf"].groupBy("doc_id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("l"))
+        keys = written(S.candidate_keys(terms, t["vocab"], distance=self.fuzzy), "keys")
+        coded = B.coded(docs.select("doc_id", "dl", F.col("l.term").alias("toks"), F.col("l.tf").alias("tfs")), terms.select("term"), keys.select("key"))
+        bm25 = B.Weighted(S.bm25_weights(terms, t["vocab"], t["stats"]), B.bm25_impact(*t["stats"].first(), S.K1, S.B))
         if self.embedder is None:
-            ranked = S.lexical_ranking(found, scores, n=self.fusion_top)
+            ranked = B.lexical_only(coded, bm25, B.Keyed(terms, keys), n=self.fusion_top, digits=9)
         else:
-            ranked = S.rrf(S.hybrid_keys(found, scores), self._vectors(queries, t), n=self.fusion_top)
+            ranked = B.fused(coded, [bm25, B.Keyed(terms, keys)], self._vectors(queries, t), B.keyed_exactly, 9, n=self.fusion_top)
         ranked = self._widened(written(ranked, "ranked"), queries, terms, t)
         hits = S.normalised(ranked).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
         return S.collapse(hits, limit or self.limit).select("query_id", F.col("doc_id").alias("id"), "score", "rank", "chunks")
