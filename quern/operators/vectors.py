@@ -46,10 +46,16 @@ def scan_top(queries: DataFrame, vectors: DataFrame, k: int | None = 10, metric:
             far[r, c] = ((q[r] - x[c]) ** 2).sum(axis=1)
             s = -np.sqrt(far)
         s = np.round(s, 6)
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        best = np.take_along_axis(s, order, 1)
-        r, c = np.nonzero(best > least) if least is not None else np.nonzero(np.ones(best.shape, dtype=bool))
-        return pd.DataFrame({"query_id": qid[r], "vec_id": order[r, c], "score": best[r, c] * (-1.0 if metric == "l2" else 1.0)})
+        keep = s > least if least is not None else np.ones(s.shape, dtype=bool)
+        if k is not None and k < s.shape[1]:
+            keep &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+        r, c = np.nonzero(keep)
+        if k is not None:
+            order = np.lexsort((ids[c], -s[r, c], r))  # only what may be among the best is sorted
+            r, c = r[order], c[order]
+            fits = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c = r[fits], c[fits]
+        return pd.DataFrame({"query_id": qid[r], "vec_id": c, "score": s[r, c] * (-1.0 if metric == "l2" else 1.0)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pyarrow.fs.FileSystem.from_uri(uri)

@@ -262,13 +262,13 @@ def blend_score(spark, d):
 @query()
 def neural_expansion(spark, d):
     """Documents reached through near vocabulary terms, for every query term; near is by the stand-in embedder."""
-    t = Tables(spark, d)
+    t = Blocks(spark, d)
     embed = V.seeded_embedder(64)
     words = t.vocab.select("term", F.xxhash64("term").alias("vec_id"), embed("term").alias("vector"))
     asked = t.terms.select("term").distinct().select("term", F.xxhash64("term").alias("query_id"), embed("term").alias("vector"))
     near = scan_top(asked.select("query_id", "vector"), words.select("vec_id", "vector"), 6, least=0.0).where("query_id <> vec_id")
     pairs = near.join(asked.select("query_id", "term"), "query_id").join(words.select("vec_id", F.col("term").alias("near")), "vec_id").select("term", "near")
-    return S.top(S.neural_expansion(t.terms, pairs, X.fragments(t.tf)).withColumnRenamed("coverage", "score"), 10)
+    return B.best(*B.expansion(t.toks, t.terms, pairs), 10)
 
 
 @query(TOK + BM + """, h AS (""" + _top("bm", 10) + """), c AS (SELECT query_id, (doc_id // 10)::VARCHAR AS doc_id, max(score) AS score, list((doc_id % 10)::INT ORDER BY rank) AS idx FROM h GROUP BY ALL)
