@@ -105,8 +105,9 @@ _GRID = [(0.9, 0.4), (1.2, 0.75), (1.6, 0.9)]
 @query(TOK + "".join(_BM.format(k=f"{k1 + 1}e0", k1=f"{k1}e0", b=f"{b}e0").replace("bm AS", f"bm{i} AS") + f", t{i} AS ({_top(f'bm{i}', 10)})" for i, (k1, b) in enumerate(_GRID))
     + " UNION ALL ".join(f" SELECT {k1}::DOUBLE AS k1, {b}::DOUBLE AS b, query_id, doc_id, score FROM t{i}" for i, (k1, b) in enumerate(_GRID)))
 def bm25_param_grid(spark, d):
-    t = Tables(spark, d)
-    parts = [t.best(10, k1, b).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "query_id", "doc_id", "score") for k1, b in _GRID]
+    t = Blocks(spark, d)
+    coded = t.coded()
+    parts = [B.best(coded, [t.bm25(k1, b)], 10).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "query_id", "doc_id", "score") for k1, b in _GRID]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
