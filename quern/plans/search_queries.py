@@ -313,9 +313,7 @@ def query_suite(spark, d):
 
 @query(TOK + BM + JUDGED + ", s AS (SELECT query_id, bm.score AS s FROM rel JOIN bm USING (query_id, doc_id)) SELECT query_id, (1 + count(*) FILTER (WHERE bm.score > s.s))::BIGINT AS gt_rank FROM s JOIN bm USING (query_id) GROUP BY query_id")
 def gt_rank(spark, d):
-    scores = written(Tables(spark, d).rounded(), "scores")
-    mine = scores.join(_judged(spark, d), ["query_id", "doc_id"]).select("query_id", F.col("score").alias("s"))
-    return scores.join(mine, "query_id").groupBy("query_id").agg((1 + F.count(F.when(F.col("score") > F.col("s"), 1))).alias("gt_rank"))
+    return Blocks(spark, d).ranks(_judged(spark, d)).select("query_id", (1 + F.col("above")).alias("gt_rank"))
 
 
 _LISTS = ", ".join(f"coalesce(avg(CASE WHEN {l} <= {n} THEN 1e0 ELSE 0 END), 0) AS {l}_{n}" for l in ("lexical", "dense") for n in (10, 20, 50, 100))
