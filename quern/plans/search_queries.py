@@ -136,8 +136,7 @@ def coverage_score(spark, d):
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(s, 4) AS score FROM pho")
 def phonetic_score(spark, d):
-    t = Tables(spark, d)
-    return S.sound_alike(t.terms, X.phonetic(t.tf)).withColumn("score", F.round("score", 4))
+    return Blocks(spark, d).matches("sound")
 
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(s, 4) AS score FROM fuz")
