@@ -130,8 +130,7 @@ cand AS (SELECT query_id, doc_id, sum(s) AS coverage FROM (FROM cov UNION ALL FR
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(s, 4) AS score FROM cov")
 def coverage_score(spark, d):
-    t = Tables(spark, d)
-    return S.coverage(t.terms, X.fragments(t.tf)).withColumn("score", F.round("score", 4))
+    return Blocks(spark, d).matches("coverage")
 
 
 @query(TOK + FR + "SELECT query_id, doc_id, round(s, 4) AS score FROM pho")
