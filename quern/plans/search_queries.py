@@ -245,9 +245,9 @@ def rrf_grid(spark, d):
 
 @query(TOK + BM + FR + SEM + ", h AS (SELECT query_id, doc_id, CASE WHEN score IS NOT NULL THEN 1 + score ELSE round(coverage, 4) * 1e-9 END AS score FROM cand LEFT JOIN bm USING (query_id, doc_id) WHERE coverage > 0), f AS (" + _fused("h", 20, 2, 10) + ")" + _top("f", 10))
 def hybrid_search(spark, d):
-    t = Tables(spark, d)
-    keys = S.hybrid_keys(t.candidates().withColumn("coverage", F.round("coverage", 4)), t.rounded())
-    return S.rrf(keys, _semantic(spark, d, S.fusion_depth()))
+    t = Blocks(spark, d)
+    keys = t.keys()
+    return B.fused(t.coded(keys.select("key")), [t.bm25(), B.Keyed(t.terms, keys)], _semantic(spark, d, S.fusion_depth()), B.keyed, 9)
 
 
 @query(TOK + BM + SEM + """, bb AS (SELECT query_id, doc_id, bm.score AS kw, sem.score AS vec FROM bm FULL JOIN sem USING (query_id, doc_id)),

@@ -151,6 +151,7 @@ MOST = {
     "lexical_candidates": 20_000,
     "phonetic_score": 12_000,
     "coverage_score": 20_000,
+    "hybrid_search": 200_000,
 }
 
 
