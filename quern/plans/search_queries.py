@@ -150,8 +150,9 @@ def lexical_candidates(spark, d):
 
 @query(TOK + BM + FR + ", k AS (SELECT query_id, doc_id, coalesce(score, 0) AS bm25 FROM cand LEFT JOIN bm USING (query_id, doc_id)), r AS (" + _top("k", 10, "query_id, doc_id, rank", "bm25") + ") SELECT *, round(1e0 / (20 + rank), 9) AS score FROM r")
 def lexical_only_search(spark, d):
-    t = Tables(spark, d)
-    return S.lexical_ranking(t.candidates(), t.rounded())
+    t = Blocks(spark, d)
+    keys = t.keys()
+    return B.lexical_only(t.coded(keys.select("key")), t.bm25(), B.Keyed(t.terms, keys))
 
 
 def _vectors(spark, d, every: int = 100):

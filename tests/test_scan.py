@@ -152,6 +152,7 @@ MOST = {
     "phonetic_score": 12_000,
     "coverage_score": 20_000,
     "hybrid_search": 200_000,
+    "lexical_only_search": 100_000,
 }
 
 
