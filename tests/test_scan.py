@@ -153,6 +153,7 @@ MOST = {
     "coverage_score": 20_000,
     "hybrid_search": 200_000,
     "lexical_only_search": 100_000,
+    "rrf_grid": 900_000,
 }
 
 
